@@ -1,0 +1,80 @@
+"""Question-answering inputs and stand-in predictions from the document tables.
+
+Every document is a context; the question is the first sentence of the
+benchmark item its id maps to. Three rule-based predictors take the place of
+neural ones, so that all analytics run on whole tables:
+
+* ``lead``    the first sentence of the context;
+* ``lexical`` the sentence sharing most question words, the first on ties;
+* ``echo``    the first six question words with a pseudo-score, missing where
+  ``_id`` is a multiple of 13.
+
+A score is the share of the question's distinct words found in the answer.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.text import char_count, distinct_words, overlap_with, split_lower
+
+STAND_IN_MODELS = ("lead", "lexical", "echo")
+SENTENCE_END = r"[.\n]+\s*"
+
+
+def qa_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input rows ``_id, title, context, question, _shard``.
+
+    The join key spreads evenly over the benchmark items; the side to
+    broadcast, if any, is left to the planner's size check.
+    """
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = benchmark.agg(F.count(F.lit(1))).scalar()
+    questions = benchmark.select("item_id", F.regexp_extract("text", r"^[^.]*", 0).alias("question"))
+    return (documents.withColumn("item_id", F.col("doc_id") % items).join(questions, "item_id")
+            .select(F.col("doc_id").alias("_id"), F.col("lang").alias("title"), F.col("text").alias("context"),
+                    "question", F.concat("source", F.lit(".csv")).alias("_shard")))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long table: one row per input and model.
+
+    All work on the context is done before rows are multiplied by model, and
+    every column is its own expression, so a query pays only for what it uses.
+    """
+    sentences = F.array_remove(F.split("context", SENTENCE_END), "")
+    asked = F.size("_asked")
+    matched = F.transform("_sentences", lambda s: F.size(F.array_intersect("_asked", split_lower(s))) / asked)
+    echoed = F.col("_id") % 13 != 0
+    prepared = (
+        qa_inputs(spark, sf_dir)
+        .withColumns({"_sentences": sentences, "_asked": distinct_words(F.col("question")),
+                      "_words": split_lower(F.col("context"))})
+        .withColumns({"_matched": matched})
+        .withColumns({
+            "_lead": F.try_element_at("_sentences", F.lit(1)),
+            "_lead_score": F.try_element_at("_matched", F.lit(1)),
+            "_lexical_score": F.array_max("_matched"),
+            "_echo": F.when(echoed, F.array_join(F.slice(F.split("question", " "), 1, 6), " ")),
+            "_echo_score": F.when(echoed, F.col("_id") * 7919 % 1000 / 1000.0),
+        })
+        .withColumns({"_lexical": F.try_element_at(
+            "_sentences", F.array_position("_matched", F.col("_lexical_score")).cast("int"))})
+        .withColumns({f"_{m}_overlap": overlap_with(F.col(f"_{m}"), F.col("_words")) for m in STAND_IN_MODELS})
+        .withColumns({"context_length": char_count(F.col("context")),
+                      "question_length": char_count(F.col("question"))})
+    )
+    long = prepared.withColumn("model", F.explode(F.array(*[F.lit(m) for m in STAND_IN_MODELS])))
+
+    def by_model(suffix: str):
+        first, *rest = STAND_IN_MODELS
+        out = F.when(F.col("model") == first, F.col(f"_{first}{suffix}"))
+        for m in rest:
+            out = out.when(F.col("model") == m, F.col(f"_{m}{suffix}"))
+        return out
+
+    return long.select(
+        "_id", "title", "context", "question", "_shard", "context_length", "question_length", "model",
+        by_model("").alias("answer"), by_model("_score").alias("score"),
+        by_model("_overlap").alias("overlap"), F.lit("").alias("error"))
