@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+PAIR_KEY = "pair_key"
 
 
 def pair_key(question: Column, context: Column) -> Column:
     """SHA-256 of a (question, context) pair as 32 bytes.
 
-    The length prefix keeps ("ab", "c") and ("a", "bc") apart; a null side is
-    marked by ``-`` so that such pairs have keys too.
+    The length prefix keeps ("ab", "c") and ("a", "bc") apart. A pair with a
+    null side has a key too, with a zero byte before it (see ``is_complete``).
     """
     def side(text: Column) -> Column:
         return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
-    return F.unhex(F.sha2(F.concat(side(question), F.lit("|"), side(context)), 256))
+    digest = F.unhex(F.sha2(F.concat(side(question), F.lit("|"), side(context)), 256))
+    whole = question.isNotNull() & context.isNotNull()
+    return F.when(whole, digest).otherwise(F.concat(F.lit(b"\x00"), digest))
+
+
+def pair_of(df: DataFrame) -> Column:
+    """The stored key column if the table has one, so that no text is read; else the key itself."""
+    return F.col(PAIR_KEY) if PAIR_KEY in df.columns else pair_key(F.col("question"), F.col("context"))
+
+
+def is_complete(key: Column) -> Column:
+    """Whether both sides of the pair are present."""
+    return F.octet_length(key) == 32
 
 
 def pair_id(key: Column) -> Column:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The characters Python's str.split() and re's \s take as blank.
-# An explicit class keeps Java from falling back to its ASCII-only \s.
-BLANKS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-BLANK_RUN = f"[{BLANKS}]+"
+# Unicode blanks as Python's str.split() and re's \s have them.
+# (?U) makes Java's \s Unicode-aware but leaves out the four separators 1c-1f.
+BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
+
+EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 # Letters, numbers, underscore, blanks and . , - ? survive cleaning.
-UNWANTED = rf"[^\p{{L}}\p{{N}}_{BLANKS}.,\-?]"
+UNWANTED = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f.,\-?]"
 
 
 def split_lower(text: Column) -> Column:
@@ -84,5 +85,4 @@ def answers_differ(left: Column, right: Column) -> Column:
 
 
 def plain_answer(text: Column) -> Column:
-    edges = f"^{BLANK_RUN}|{BLANK_RUN}$"
-    return F.lower(F.regexp_replace(text, edges, ""))
+    return F.lower(F.regexp_replace(text, EDGE_BLANKS, ""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.bands import EXPLICIT_TIERS, OVERLAP_TIER_NAMES, RISKY_TIERS, overlap_tier, overlap_verdict
 from ..functions.keys import seeded_order
@@ -142,10 +142,8 @@ def risk_shares(df: DataFrame, a: str, b: str) -> DataFrame:
         F.count_if(F.col("_tier").isin(*EXPLICIT_TIERS)).alias("explicit")))
     percent = shares.select("model", "n", "risky", (F.col("risky") * 100.0 / F.col("n")).alias("risky_pct"),
                             "explicit", (F.col("explicit") * 100.0 / F.col("n")).alias("explicit_pct"))
-    both = percent.agg(
-        F.struct(F.max(F.when(F.col("model") == a, F.col("risky_pct"))).alias("a"),
-                 F.max(F.when(F.col("model") == b, F.col("risky_pct"))).alias("b")).alias("r")).scalar()
-    ra, rb = both.getField("a"), both.getField("b")
+    both = Window.partitionBy()  # one row per model
+    ra, rb = (F.max(F.when(F.col("model") == m, F.col("risky_pct"))).over(both) for m in (a, b))
     return percent.withColumns({"safer_model": F.when(ra > rb, b).otherwise(a),
                                 "safer_by_pp": F.abs(ra - rb)})
 

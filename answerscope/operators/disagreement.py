@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.keys import answer_key, pair_id, pair_key, seeded_order
+from ..functions.keys import answer_key, is_complete, pair_id, pair_of, seeded_order
 from ..functions.text import preview
 from .ranking import best_model_extremes
 
@@ -12,7 +12,7 @@ SEED = 42
 
 
 def with_pair(df: DataFrame) -> DataFrame:
-    return df.withColumn("_pair", pair_key(F.col("question"), F.col("context")))
+    return df.withColumn("_pair", pair_of(df))
 
 
 def disagreement_level(models: Column, answers: Column, complete: Column) -> Column:
@@ -27,22 +27,24 @@ def disagreement_level(models: Column, answers: Column, complete: Column) -> Col
             .otherwise("no_disagreement"))
 
 
-def _pair_classes(df: DataFrame) -> DataFrame:
+def _pair_classes(df: DataFrame, marked: bool = False) -> DataFrame:
     """One row per pair, keyed by ``_pair``. A null answer equals ``""`` here.
 
     Rows are first counted per (pair, model, answer), which spreads a pair
-    with very many rows over tasks; only keys and counts are shuffled.
+    with very many rows over tasks; only keys and counts are shuffled. With
+    ``marked`` the rows flagged ``_excluded`` are counted too.
     """
-    each = (df.groupBy(pair_key(F.col("question"), F.col("context")).alias("_pair"),
-                       F.col("model"),
-                       answer_key(F.coalesce("answer", F.lit(""))).alias("_answer"),
-                       (F.col("question").isNotNull() & F.col("context").isNotNull()).alias("_complete"))
-            .agg(F.count(F.lit(1)).alias("_rows")))
+    counts = [F.count(F.lit(1)).alias("_rows")]
+    if marked:
+        counts.append(F.count_if("_excluded").alias("_excluded"))
+    each = (df.groupBy(pair_of(df).alias("_pair"), F.col("model"),
+                       answer_key(F.coalesce("answer", F.lit(""))).alias("_answer")).agg(*counts))
     models = F.count_distinct("model") + F.max(F.col("model").isNull().cast("int"))
-    return (each.groupBy("_pair").agg(
-        F.sum("_rows").alias("n_rows"), models.alias("n_models"),
-        F.count_distinct("_answer").alias("n_answers"), F.bool_and("_complete").alias("_complete"))
-        .withColumn("level", disagreement_level(F.col("n_models"), F.col("n_answers"), F.col("_complete"))))
+    sums = [F.sum("_rows").alias("n_rows"), models.alias("n_models"), F.count_distinct("_answer").alias("n_answers")]
+    if marked:
+        sums.append(F.sum("_excluded").alias("n_excluded"))
+    level = disagreement_level(F.col("n_models"), F.col("n_answers"), is_complete(F.col("_pair")))
+    return each.groupBy("_pair").agg(*sums).withColumn("level", level)
 
 
 def disagreement(df: DataFrame) -> DataFrame:
@@ -57,15 +59,14 @@ def sample_pairs(df: DataFrame, count: int = 5, seed: int = SEED) -> DataFrame:
     Pairs with full disagreement come first, partial ones fill up. The order
     within a tier and the final shuffle follow a seeded hash of the pair.
     """
-    ends = [best_model_extremes(df, largest) for largest in (True, False)]
-    marked = with_pair(ends[0].unionByName(ends[1]).select("_id", "model", "question", "context"))
+    narrow = df.select("_id", "model", "score", "overlap")
+    ends = [best_model_extremes(narrow, largest).select("_id", "model") for largest in (True, False)]
     # At most 20 rows; a row that is both best and worst counts once.
-    excluded = (marked.select("_id", "model", "_pair").distinct()
-                .groupBy("_pair").agg(F.count(F.lit(1)).alias("_excluded")))
+    excluded = ends[0].unionByName(ends[1]).distinct().withColumn("_excluded", F.lit(True))
+    marked = df.join(excluded, ["_id", "model"], "left")
     tier = F.when(F.col("level") == "full_disagreement", 0).when(F.col("level") == "partial_disagreement", 1)
-    chosen = (_pair_classes(df).withColumn("_tier", tier).where(F.col("_tier").isNotNull())
-              .join(excluded, "_pair", "left")
-              .where(F.col("n_rows") > F.coalesce("_excluded", F.lit(0)))
+    chosen = (_pair_classes(marked, marked=True).withColumn("_tier", tier)
+              .where(F.col("_tier").isNotNull() & (F.col("n_rows") > F.col("n_excluded")))
               .withColumn("pair_id", pair_id(F.col("_pair")))
               .orderBy("_tier", seeded_order(seed, F.col("pair_id")), "pair_id").limit(count))
     shuffled = Window.orderBy(seeded_order(seed, F.lit("shuffle"), F.col("pair_id")), "pair_id")

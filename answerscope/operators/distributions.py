@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.bands import correlation_direction, correlation_strength
 from ..functions.statistics import half_even, pearson
@@ -46,13 +46,13 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     lo, hi = span.getField("lo"), span.getField("hi")
     counts = (present.groupBy(_bin_of(F.col(value), lo, hi, bins).alias("bin"))
               .agg(F.count(F.lit(1)).alias("count"), F.sum(value).alias("_sum")))
-    total = counts.agg(F.struct(F.sum("_sum").alias("s"), F.sum("count").alias("c")).alias("t")).scalar()
     step = (hi - lo) / bins
+    all_bins = Window.partitionBy()  # one row per bin
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).where(lo.isNotNull())
     return (grid.join(counts, "bin", "left")
             .select("bin", (lo + F.col("bin") * step).alias("lower"), (lo + (F.col("bin") + 1) * step).alias("upper"),
                     F.coalesce("count", F.lit(0)).alias("count"),
-                    (total.getField("s") / total.getField("c")).alias("mean_value")))
+                    (F.sum("_sum").over(all_bins) / F.sum("count").over(all_bins)).alias("mean_value")))
 
 
 def density(df: DataFrame, value: str = "score", bins: int = 40) -> DataFrame:
@@ -103,14 +103,28 @@ def box_overall(df: DataFrame, value: str) -> DataFrame:
 def trend(df: DataFrame, x: str, y: str = "score") -> DataFrame:
     """Least-squares line per model, and one overall if there is no model column.
 
-    ``correlation`` is over all rows, as it is printed beside every line.
+    ``correlation`` is over all rows, as it is printed beside every line. It
+    is put together from the sums of the models, so the rows are read once.
     """
-    overall = df.agg(pearson(F.col(x), F.col(y)).alias("r")).scalar()
-    line = [F.regr_count(y, x).alias("points"), F.regr_slope(y, x).alias("slope"),
-            F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2")]
-    grouped = df.where(F.col("model").isNotNull()).groupBy("model") if "model" in df.columns else df.groupBy()
-    lines = grouped.agg(*line)
-    return lines.withColumn("correlation", overall)
+    sums = [F.regr_count(y, x).alias("points"), F.regr_slope(y, x).alias("slope"),
+            F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"),
+            F.regr_avgx(y, x).alias("ax"), F.regr_avgy(y, x).alias("ay"),
+            F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy")]
+    grouped = df.groupBy("model") if "model" in df.columns else df.groupBy()
+    every = Window.partitionBy()  # one row per model
+
+    def over_all(c: Column) -> Column:
+        return F.sum(c).over(every)
+
+    n = F.col("points")
+    dx = F.col("ax") - F.try_divide(over_all(n * F.col("ax")), over_all(n))
+    dy = F.col("ay") - F.try_divide(over_all(n * F.col("ay")), over_all(n))
+    lines = grouped.agg(*sums).withColumns({"dx": dx, "dy": dy})
+    dx, dy = F.col("dx"), F.col("dy")
+    sxx, syy, sxy = (over_all(F.col(s) + n * d) for s, d in (("sxx", dx * dx), ("syy", dy * dy), ("sxy", dx * dy)))
+    lines = lines.withColumn("correlation", F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy))).drop(
+        "ax", "ay", "sxx", "syy", "sxy", "dx", "dy")
+    return lines.where(F.col("model").isNotNull()) if "model" in df.columns else lines
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.bands import RISK_BANDS, performance_tier, risk_band
-from ..functions.keys import answer_key, pair_id, pair_key
+from ..functions.keys import answer_key, is_complete, pair_id, pair_of
 from ..functions.statistics import half_even
 from ..functions.text import nonspace_count, word_count
 from .quantiles import exact_quantiles
@@ -36,11 +36,9 @@ def agreement_groups(df: DataFrame) -> DataFrame:
     and one answer of one pair is one group first, so a pair with very many
     rows is spread over tasks and counted before it meets in one.
     """
-    complete = df.where(F.col("question").isNotNull() & F.col("context").isNotNull())
-    each = (complete.groupBy(pair_key(F.col("question"), F.col("context")).alias("_pair"),
-                             answer_key(F.col("answer")).alias("_answer"))
+    each = (df.groupBy(pair_of(df).alias("_pair"), answer_key(F.col("answer")).alias("_answer"))
             .agg(F.count(F.lit(1)).alias("_rows")))
-    return (each.groupBy("_pair").agg(F.sum("_rows").alias("n_predictions"), F.count(F.lit(1)).alias("n_unique_answers"))
+    return (each.where(is_complete(F.col("_pair"))).groupBy("_pair").agg(F.sum("_rows").alias("n_predictions"), F.count(F.lit(1)).alias("n_unique_answers"))
             .select(pair_id(F.col("_pair")).alias("pair_id"), "n_predictions", "n_unique_answers"))
 
 

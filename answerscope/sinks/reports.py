@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.keys import PAIR_KEY, pair_of
 from ..operators.compare import wide_compare, wide_summary
 from ..operators.distributions import correlation_matrix
 from ..operators.metrics import overall_metrics, per_model_metrics
@@ -21,8 +22,12 @@ def write_predictions(df: DataFrame, table: str, run_id: str) -> None:
     """Store a run as the Parquet partition ``run_id=<run_id>`` of ``table``.
 
     Writing the same run again replaces it, so a repeated job leaves one copy.
+    The key of the (question, context) pair is stored beside the columns, so
+    that agreement and disagreement read 32 bytes per row and no text.
     """
-    (ordered_projection(df).withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
+    keyed = df.withColumn(PAIR_KEY, pair_of(df))
+    stored = ordered_projection(keyed, PAIR_KEY).withColumn("run_id", F.lit(run_id))
+    (stored.write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(table))
 
 

@@ -82,7 +82,7 @@ def scan_results(spark: SparkSession, path: str) -> DataFrame:
     return normalize_results(spark.read.parquet(path))
 
 
-def ordered_projection(df: DataFrame) -> DataFrame:
+def ordered_projection(df: DataFrame, *more: str) -> DataFrame:
     """The consolidated columns in their fixed order and types; absent ones are left out."""
     kinds = {f.name: f.dataType for f in CONSOLIDATED_SCHEMA}
-    return df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in CONSOLIDATED_COLUMNS if c in df.columns])
+    return df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in CONSOLIDATED_COLUMNS if c in df.columns], *more)

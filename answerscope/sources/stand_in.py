@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import char_count, distinct_words, overlap_with, split_lower
+from ..functions.text import BLANK_RUN, char_count, distinct_words, overlap_with, split_lower
 
 STAND_IN_MODELS = ("lead", "lexical", "echo")
 SENTENCE_END = r"[.\n]+\s*"
@@ -28,7 +28,7 @@ def qa_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The join key spreads evenly over the benchmark items; the side to
     broadcast, if any, is left to the planner's size check.
     """
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = spread_small(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = benchmark.agg(F.count(F.lit(1))).scalar()
     questions = benchmark.select("item_id", F.regexp_extract("text", r"^[^.]*", 0).alias("question"))
@@ -37,6 +37,16 @@ def qa_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "question", F.concat("source", F.lit(".csv")).alias("_shard")))
 
 
+def spread_small(df: DataFrame, key: str, limit: int = 1 << 30) -> DataFrame:
+    """Spread a table of less than ``limit`` bytes on disk over all cores.
+
+    A small file may be a single row group, which is a single task however
+    many cores wait. Tables beyond the limit keep the partitions of their scan.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < limit else df
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long table: one row per input and model.
 
@@ -45,7 +55,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     sentences = F.array_remove(F.split("context", SENTENCE_END), "")
     asked = F.size("_asked")
-    matched = F.transform("_sentences", lambda s: F.size(F.array_intersect("_asked", split_lower(s))) / asked)
+    lowered = F.array_remove(F.split(F.lower("context"), SENTENCE_END), "")
+    matched = F.transform(lowered, lambda s: F.size(F.array_intersect("_asked", F.split(s, BLANK_RUN))) / asked)
     echoed = F.col("_id") % 13 != 0
     prepared = (
         qa_inputs(spark, sf_dir)
