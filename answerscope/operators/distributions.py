@@ -31,8 +31,8 @@ def bounds_of(df: DataFrame, value: str) -> Column:
 
 def _bin_of(value: Column, lo: Column, hi: Column, bins: int) -> Column:
     """0-based equal-width bin; the last bin is closed; one value alone is bin 0."""
-    place = F.floor(F.try_divide(value - lo, hi - lo) * bins)
-    return F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int")
+    place = F.coalesce(F.floor(F.try_divide(value - lo, hi - lo) * bins), F.lit(0))
+    return F.least(place, F.lit(bins - 1)).cast("int")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

@@ -17,6 +17,11 @@ from .columns import null_tokens_to_null
 
 _PARTITION = r"/_shard=([^/]+)/"
 _EXTRA = "_surplus_field"
+CSV_READ_OPTIONS = {
+    "header": "true", "multiLine": "true", "quote": '"', "escape": '"',
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    "enforceSchema": "true", "mode": "PERMISSIVE",
+}
 
 
 def shard_name(path: Column) -> Column:
@@ -25,13 +30,21 @@ def shard_name(path: Column) -> Column:
     return F.when(folder != "", _decoded(folder)).otherwise(F.element_at(F.split(path, "/"), -1))
 
 
+def file_shard() -> Column:
+    """Shard of the file a row was read from."""
+    return shard_name(_decoded(F.col("_metadata.file_path")))
+
+
 def _decoded(path: Column) -> Column:
     """Undo the percent-encoding of metadata paths and partition folders."""
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def shard_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of all shards: ``_shard, path, length``; file contents are not read."""
+    """Files of all shards: ``_shard, path, length``; file contents are not read.
+
+    Files of no bytes are not listed: they hold not even a header.
+    """
     out = spark.createDataFrame([], "_shard string, path string, length long")
     for pattern in (f"{folder}/*.csv", f"{folder}/_shard=*/*.csv"):
         try:
@@ -166,7 +179,7 @@ def skipped_files(spark: SparkSession, folder: str, selection="all") -> DataFram
 
 
 def _selected_groups(spark, folder, selection):
-    files = shard_files(spark, folder).where(selection_filter(selection)).where(F.col("length") > 0)
+    files = shard_files(spark, folder).where(selection_filter(selection))
     paths = [r.path for r in files.select("path").orderBy("path").collect()]
     if not paths:
         return []
@@ -176,12 +189,7 @@ def _selected_groups(spark, folder, selection):
 def _read_group(spark: SparkSession, names: list[str], paths: list[str]) -> DataFrame:
     columns = [n for n in names if n != "_shard"]
     schema = ", ".join(f"`{n}` string" for n in [*names, _EXTRA])
-    raw = (spark.read.schema(schema)
-           .options(header="true", multiLine="true", quote='"', escape='"',
-                    ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
-                    enforceSchema="true", mode="PERMISSIVE")
-           .csv(paths))
-    tagged = raw.select(*[F.col(f"`{c}`") for c in columns], _EXTRA,
-                        shard_name(F.col("_metadata.file_path")).alias("_shard"),
+    raw = spark.read.schema(schema).options(**CSV_READ_OPTIONS).csv(paths)
+    tagged = raw.select(*[F.col(f"`{c}`") for c in columns], _EXTRA, file_shard().alias("_shard"),
                         _decoded(F.col("_metadata.file_path")).alias("_path"))
     return null_tokens_to_null(tagged, columns)
