@@ -75,29 +75,43 @@ def density(df: DataFrame, value: str = "score", bins: int = 40) -> DataFrame:
                        F.try_divide(count, F.col("n") * step).alias("density"))
 
 
+def _with_fences(quartiles: DataFrame) -> DataFrame:
+    reach = 1.5 * (F.col("q75") - F.col("q25"))
+    return quartiles.withColumns({"lower_fence": F.col("q25") - reach, "upper_fence": F.col("q75") + reach})
+
+
+_BOX = ("q25", "q50", "q75", "lower_fence", "upper_fence")
+
+
+def _box_columns(value: str, low: Column, high: Column, count: Column) -> list[Column]:
+    """Aggregates over value counts: whiskers inside the fences, outliers, rows."""
+    inside = F.col(value).between(low, high)
+    return [F.min(F.when(inside, F.col(value))).alias("whisker_low"),
+            F.max(F.when(inside, F.col(value))).alias("whisker_high"),
+            F.sum(F.when(inside, 0).otherwise(count)).alias("outliers"), F.sum(count).alias("n")]
+
+
 def box_summary(df: DataFrame, value: str = "score", key: str = "model") -> DataFrame:
     """Quartiles, fences at 1.5 IQR, whiskers inside them and outliers per key."""
     present = df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(key, value)
-    quartiles = exact_quantiles(present, key, value, QUARTILES)
-    fenced = quartiles.withColumns({
-        "lower_fence": F.col("q25") - 1.5 * (F.col("q75") - F.col("q25")),
-        "upper_fence": F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))})
+    fenced = _with_fences(exact_quantiles(present, key, value, QUARTILES))
     # Equal values are counted before they meet their fences.
     counted = present.groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    inside = F.col(value).between(F.col("lower_fence"), F.col("upper_fence"))
-    fields = ["q25", "q50", "q75", "lower_fence", "upper_fence"]
-    return (counted.join(fenced, key)
-            .groupBy(key, *fields)
-            .agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"),
-                 F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-                 F.sum(F.when(inside, 0).otherwise(F.col("c"))).alias("outliers"),
-                 F.sum("c").alias("n"))
-            .select(key, "n", *fields, "whisker_low", "whisker_high", "outliers"))
+    return (counted.join(fenced, key).groupBy(key, *_BOX)
+            .agg(*_box_columns(value, F.col("lower_fence"), F.col("upper_fence"), F.col("c")))
+            .select(key, "n", *_BOX, "whisker_low", "whisker_high", "outliers"))
 
 
 def box_overall(df: DataFrame, value: str) -> DataFrame:
     """The box beside a histogram: one summary over all rows."""
-    return box_summary(df.select(F.lit("all").alias("group"), value), value, "group")
+    present = df.where(F.col(value).isNotNull()).select(F.lit("all").alias("group"), value)
+    fenced = _with_fences(exact_quantiles(present, "group", value, QUARTILES))
+    box = fenced.select(F.struct(*_BOX)).scalar()
+    counted = present.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
+    summary = counted.agg(*_box_columns(value, box.getField("lower_fence"), box.getField("upper_fence"), F.col("c")))
+    return (summary.where(F.col("n").isNotNull())
+            .select(F.lit("all").alias("group"), "n", *[box.getField(c).alias(c) for c in _BOX],
+                    "whisker_low", "whisker_high", "outliers"))
 
 
 def trend(df: DataFrame, x: str, y: str = "score") -> DataFrame:

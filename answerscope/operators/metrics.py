@@ -8,6 +8,7 @@ from ..functions.bands import RISK_BANDS, performance_tier, risk_band
 from ..functions.keys import answer_key, is_complete, pair_id, pair_of
 from ..functions.statistics import half_even
 from ..functions.text import nonspace_count, word_count
+from ..sources.columns import annotate
 from .quantiles import exact_quantiles
 
 
@@ -108,23 +109,36 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 def metrics_document(df: DataFrame) -> DataFrame:
     """One row with the nested parts overall, per_model, comparative, categorical.
 
-    The lists gathered here have one entry per model or band.
+    Counts and sums are taken once per (model, band); everything but medians
+    and agreement follows from these few rows. The lists gathered here have
+    one entry per model or band. A table without overlap is annotated first.
     """
-    per_model = per_model_metrics(df)
-    models = per_model.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(
-        "model", F.struct("count", "mean_score", "median_score", "avg_overlap"))))).alias("m"))
-    bands = risk_counts(df)
-    order = {label: i for i, (_, label) in enumerate(RISK_BANDS)}
-    rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    risks = bands.agg(F.map_from_entries(F.transform(
-        F.sort_array(F.collect_list(F.struct(-F.col("count"), rank[F.col("risk_band")], "risk_band", "count"))),
-        lambda e: F.struct(e["risk_band"], e["count"]))).alias("m"))
-    overall = overall_metrics(df)
-    return df.sparkSession.range(1).select(
-        overall.select(F.struct("total_predictions", "avg_overlap")).scalar().alias("overall"),
-        models.scalar().alias("per_model"),
+    if "overlap" not in df.columns:
+        df = annotate(df)
+    cells = df.groupBy("model", risk_band(F.col("score")).alias("band")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.count("score").alias("scored"),
+        F.sum("overlap").alias("o"), F.count("overlap").alias("overlapped"))
+    sums = [F.sum(c).alias(c) for c in ("n", "s", "scored", "o", "overlapped")]
+    by_model, by_band, everything = 1, 2, 3
+    rolled = cells.groupingSets([["model"], ["band"], []], "model", "band").agg(F.grouping_id().alias("g"), *sums)
+    full = rolled.join(exact_quantiles(df, "model", "score", {"median_score": 0.5}), "model", "left")
+
+    avg_overlap = F.try_divide("o", "overlapped").alias("avg_overlap")
+    model = F.struct("model", F.struct(F.col("n").alias("count"), F.try_divide("s", "scored").alias("mean_score"),
+                                       "median_score", avg_overlap))
+    place = F.create_map(*[F.lit(x) for i, (_, label) in enumerate(RISK_BANDS) for x in (label, i)])
+    band = F.struct((-F.col("n")).alias("order"), place[F.col("band")].alias("place"), "band", "n")
+    overall = F.struct(F.col("n").alias("total_predictions"), F.coalesce(avg_overlap, F.lit(0.0)).alias("avg_overlap"))
+    nothing = F.struct(F.lit(0).cast("long").alias("total_predictions"), F.lit(0.0).alias("avg_overlap"))
+    parts = full.agg(
+        F.max(F.when(F.col("g") == everything, overall)).alias("overall"),
+        F.collect_list(F.when((F.col("g") == by_model) & F.col("model").isNotNull(), model)).alias("models"),
+        F.collect_list(F.when(F.col("g") == by_band, band)).alias("bands"))
+    return parts.select(
+        F.coalesce("overall", nothing).alias("overall"),
+        F.map_from_entries(F.sort_array("models")).alias("per_model"),
         avg_unique_answers(df).select(F.struct("avg_unique_answers")).scalar().alias("comparative"),
-        risks.scalar().alias("categorical"))
+        F.map_from_entries(F.transform(F.sort_array("bands"), lambda b: F.struct(b["band"], b["n"]))).alias("categorical"))
 
 
 def document_rows(document: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import truncate
 from ..schema import MODEL_FALLBACKS, MODEL_REGISTRY
@@ -137,14 +137,36 @@ def _number(value):
     return None if value is None or value != value else float(value)
 
 
-def fan_out(df: DataFrame, models: Sequence[Model], batch_size: int = 32,
-            context_limit: int | None = None, extra: Sequence[str] = ()) -> DataFrame:
+def load_failures(spark: SparkSession, models: Sequence[Model]) -> dict[str, str]:
+    """Try to load every model in one worker: model -> message for those that do not load (runs a job)."""
+    models = list(models)
+    ship_package(spark)
+
+    def attempt(batches):
+        for _ in batches:
+            pass
+        failed = []
+        for m in models:
+            try:
+                _load(m)
+            except Exception as e:
+                failed.append((m.key, str(e)))
+        yield pd.DataFrame(failed, columns=["model", "error"])
+
+    rows = spark.range(1).coalesce(1).mapInPandas(attempt, "model string, error string").collect()
+    return {r.model: r.error for r in rows}
+
+
+def fan_out(df: DataFrame, models: Sequence[Model], batch_size: int = 32, context_limit: int | None = None,
+            extra: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """Every input row once per model, with ``model, answer, score, start, end, error, model_error``.
 
     Rows stay in their partitions: the number of partitions, not of models,
     sets the parallelism, and nothing is shuffled. A batch is ``batch_size``
     consecutive rows of a partition. A model that cannot be loaded yields
     ``model_error`` on its rows; see ``failed_models`` and ``without_models``.
+    With ``strict`` it fails the task, which Spark then tries elsewhere, so
+    that no model ends up with part of its rows.
     """
     if not models:
         raise ValueError("no models selected")
@@ -159,6 +181,8 @@ def fan_out(df: DataFrame, models: Sequence[Model], batch_size: int = 32,
             try:
                 ready[m.token] = _load(m)
             except Exception as e:
+                if strict:
+                    raise
                 broken[m.token] = str(e)
         for columns in batches:
             rows = pd.concat(columns, axis=1, keys=names)

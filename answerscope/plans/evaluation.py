@@ -9,7 +9,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import compare, disagreement, distributions, filters, metrics, predict, ranking
-from ..session import scratch_path
 from ..sinks import reports
 from ..sources.columns import annotate, head_rows, normalize_input
 from ..sources.shards import load_shards
@@ -30,8 +29,8 @@ def run_evaluation(spark: SparkSession, shards: str, output: str, selection="all
                    extra: Sequence[str] = (), run_id: str | None = None, csv: str | None = None) -> EvaluationRun:
     """Load shards, run every model, store the predictions, write the reports.
 
-    Inference runs once: its rows are written to the shared folder before
-    failed models are told from good ones, and everything after reads tables.
+    Models that do not load are found first and left out. The predictions are
+    computed and written once; everything after reads that table.
     ``csv`` may be ``"csv"`` or ``"csv.gz"`` for an export beside the table.
     """
     models = predict.select_models("all") if models is None else list(models)
@@ -41,18 +40,15 @@ def run_evaluation(spark: SparkSession, shards: str, output: str, selection="all
     if max_samples:
         inputs = head_rows(inputs, max_samples)
     inputs = normalize_input(inputs)
-    run_id = run_id or datetime.now().strftime("%Y%m%d_%H%M%S")
-
-    raw_path = scratch_path(spark, "raw-predictions")
-    annotate(predict.fan_out(inputs, models, batch_size, context_limit, extra)).write.parquet(raw_path)
-    raw = spark.read.parquet(raw_path)
-    # One row per failed model.
-    failures = {r.model: r.model_error for r in predict.failed_models(raw).collect()}
-    if set(failures) >= {m.key for m in models}:
-        raise RuntimeError(f"no model produced results: {failures}")
+    failures = predict.load_failures(spark, models)
+    good = [m for m in models if m.key not in failures]
+    if not good:
+        raise RuntimeError(f"no model could be loaded: {failures}")
 
+    run_id = run_id or datetime.now().strftime("%Y%m%d_%H%M%S")
     table = f"{output}/predictions"
-    reports.write_predictions(predict.without_models(raw, list(failures)), table, run_id)
+    raw = predict.fan_out(inputs, good, batch_size, context_limit, extra, strict=True)
+    reports.write_predictions(annotate(raw), table, run_id)
     results = spark.read.parquet(table).where(f"run_id = '{run_id}'")
     run_folder = f"{output}/{run_id}"
     if csv:

@@ -41,28 +41,32 @@ def find_latest_results(spark: SparkSession, root: str) -> str | None:
     folder down; then the most recent uncompressed result at any depth. The
     write time of a result stands for that of its folder.
     """
-    try:
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-                 .select("path", "modificationTime"))
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    part = F.split(F.substring_index("path", f"{root.rstrip('/').split(':')[-1]}/", -1), "/")
-    # A result is a file of that name, or a folder of that name with part files.
-    at = F.array_position(F.transform(part, lambda p: p.rlike(rf"^{RESULTS_STEM}\.csv(\.gz)?$")), F.lit(True)).cast("int")
-    found = (files.withColumns({"_part": part, "_at": at}).where(F.col("_at") > 0)
-             .select(
-                 F.expr("array_join(slice(_part, 1, _at), '/')").alias("result"),
-                 F.expr("element_at(_part, _at) like '%.gz'").alias("packed"),
-                 F.expr(f"case when _at = 2 and _part[0] rlike '^[0-9]{{8}}_[0-9]{{6}}$' then _part[0] end").alias("run"),
-                 (F.col("_at") == 2).alias("near"), "modificationTime"))
-    ranked = found.where("run is not null or near or not packed").orderBy(
-        F.desc_nulls_last("run"), F.desc("near"),
-        F.when(F.col("run").isNotNull(), F.col("packed")).desc_nulls_last(),
-        F.desc("modificationTime"), F.desc("packed"), "result")
-    best = ranked.select("result").first()
-    return None if best is None else f"{root.rstrip('/')}/{best.result}"
+    root = root.rstrip("/")
+    name = rf"/({RESULTS_STEM}\.csv(\.gz)?)(/|$)"
+    for pattern in (f"{root}/*/{RESULTS_STEM}.csv*", root):
+        try:
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        # A result is a file of that name, or a folder of that name with part files.
+        found = files.where(F.regexp_count("path", F.lit(name)) > 0).select(
+            F.concat(F.regexp_extract("path", rf"^(.*?){name}", 1), F.lit("/"), F.regexp_extract("path", name, 1))
+            .alias("result"), "modificationTime")
+        packed = F.col("result").endswith(".gz")
+        folder = F.element_at(F.split("result", "/"), -2)
+        run = F.when(folder.rlike(RUN_ID_PATTERN), folder)
+        if pattern == root:
+            found = found.where(~packed)
+            order = [F.desc("modificationTime"), F.col("result")]
+        else:
+            order = [run.desc_nulls_last(), F.when(run.isNotNull(), packed).desc_nulls_last(),
+                     F.desc("modificationTime"), packed.desc(), F.col("result")]
+        best = found.orderBy(*order).select("result").first()
+        if best is not None:
+            return root + best.result.split(root.split(":")[-1], 1)[1]
+    return None
 
 
 def scan_results(spark: SparkSession, path: str) -> DataFrame:
@@ -70,12 +74,20 @@ def scan_results(spark: SparkSession, path: str) -> DataFrame:
 
     Parquet is read as it is. CSV (plain or gzip, told by the extension) is
     read as text, missing-value tokens become null, numbers are parsed with
-    anything else as null. CSV columns are taken by their own header.
+    anything else as null. CSV columns are taken by their own header. A
+    ``.csv`` that is absent is looked for as ``.csv.gz``.
     """
     if path.rstrip("/").endswith((".csv", ".csv.gz")):
         options = dict(header="true", multiLine="true", quote='"', escape='"',
                        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
-        raw = null_tokens_to_null(spark.read.options(**options).csv(path))
+        reader = spark.read.options(**options)
+        try:
+            raw = reader.csv(path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND" or path.endswith(".gz"):
+                raise
+            raw = reader.csv(f"{path}.gz")
+        raw = null_tokens_to_null(raw)
         typed = normalize_results(raw)
         lengths = [c for c in ("context_length", "question_length") if c in typed.columns]
         return typed.withColumns({c: F.col(c).try_cast("int") for c in lengths})

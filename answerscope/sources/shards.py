@@ -17,6 +17,7 @@ from .columns import null_tokens_to_null
 
 _PARTITION = r"/_shard=([^/]+)/"
 _EXTRA = "_surplus_field"
+DEFAULT_SHARD = "shard_055"  # fixed value
 CSV_READ_OPTIONS = {
     "header": "true", "multiLine": "true", "quote": '"', "escape": '"',
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
@@ -97,7 +98,7 @@ def stem(column: str = "_shard") -> Column:
     return F.regexp_replace(F.col(column), r"\.csv$", "")
 
 
-def with_suffix(name: str) -> str:
+def with_suffix(name: str = DEFAULT_SHARD) -> str:
     """``shard_055`` and ``shard_055.csv`` name the same shard."""
     return name if name.endswith(".csv") else f"{name}.csv"
 
@@ -108,7 +109,7 @@ def shard_stems(df: DataFrame, glob: str = "shard_*.csv") -> DataFrame:
             .distinct().orderBy("stem"))
 
 
-def shard_exists(spark: SparkSession, folder: str, name: str) -> bool:
+def shard_exists(spark: SparkSession, folder: str, name: str = DEFAULT_SHARD) -> bool:
     """Whether a shard of that stem or name is present (runs a small job)."""
     hits = shard_files(spark, folder).where(F.col("_shard") == with_suffix(name))
     return not hits.isEmpty()
@@ -127,12 +128,12 @@ def _headers(spark: SparkSession, paths: list[str]) -> list:
 
     def first_row(batches):
         for batch in batches:
-            yield batch.head(1)
+            yield batch.slice(0, 1)
             return
 
     lines = (probe.read.text(paths)
              .select(_decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("header"))
-             .mapInPandas(first_row, "path string, header string"))
+             .mapInArrow(first_row, "path string, header string"))
     return lines.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()
 
 

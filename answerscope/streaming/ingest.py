@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.predict import Model, fan_out, without_models
+from ..operators.predict import Model, fan_out, load_failures
 from ..sinks.reports import write_predictions
 from ..sources.columns import annotate, normalize_input, null_tokens_to_null
 from ..sources.shards import CSV_READ_OPTIONS, file_shard
@@ -27,16 +27,18 @@ def evaluate_new_shards(stream: DataFrame, models: Sequence[Model], table: str,
 
     Batch ``n`` is the run ``<run_id>`` plus ``n`` seconds, so a batch that is
     repeated after a failure replaces its own partition and nothing is
-    stored twice.
+    stored twice. Models that do not load at the start are left out.
     """
+    failed = load_failures(stream.sparkSession, models)
+    good = [m for m in models if m.key not in failed]
     started = F.to_timestamp(F.lit(run_id), "yyyyMMdd_HHmmss")
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         later = F.date_format(started + F.make_interval(secs=F.lit(number)), "yyyyMMdd_HHmmss")
         name = spark.range(1).select(later).first()[0]
-        raw = fan_out(normalize_input(batch), models, batch_size, extra=extra)
-        write_predictions(annotate(without_models(raw, [])), table, name)
+        raw = fan_out(normalize_input(batch), good, batch_size, extra=extra, strict=True)
+        write_predictions(annotate(raw), table, name)
 
     return (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -70,6 +70,17 @@ def test_document(table):
     assert doc["categorical"] == {"high_risk": 1, "low_risk": 1}
 
 
+def test_document_of_nothing_and_without_overlap(table):
+    doc = metrics.metrics_document(table([])).first().asDict(recursive=True)
+    assert doc == {"overall": {"total_predictions": 0, "avg_overlap": 0.0}, "per_model": {},
+                   "comparative": {"avg_unique_answers": 0.0}, "categorical": {}}
+    bare = table([("1", "q", "a b", "m", "a c", 0.9, 1.0), ("1", "q", "a b", None, "a", 0.9, 1.0)]).drop("overlap")
+    doc = metrics.metrics_document(bare).first().asDict(recursive=True)
+    assert doc["overall"] == {"total_predictions": 2, "avg_overlap": 0.75}
+    assert list(doc["per_model"]) == ["m"] and doc["per_model"]["m"]["avg_overlap"] == 0.5
+    assert doc["categorical"] == {"low_risk": 2}
+
+
 def test_annotate_defaults(spark):
     out = annotate(spark.createDataFrame([("q",)], "question string")).first()
     assert (out.answer, out.context, out.overlap, out.context_length, out.question_length) == (None, "", 0.0, 0, 1)

@@ -150,6 +150,7 @@ def test_csv_export_reads_back(spark, table, tmp_path, packed):
     assert back == sorted((i, m, q, c, a, s, o) for i, q, c, m, a, s, o in ROW)
     found = results.find_latest_results(spark, str(tmp_path))
     assert found == path
+    assert results.scan_results(spark, path.removesuffix(".gz")).count() == 3
 
 
 def test_predictions_table_replaces_a_run(spark, table, tmp_path):
