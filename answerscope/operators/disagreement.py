@@ -30,21 +30,23 @@ def disagreement_level(models: Column, answers: Column, complete: Column) -> Col
 def _pair_classes(df: DataFrame, marked: bool = False) -> DataFrame:
     """One row per pair, keyed by ``_pair``. A null answer equals ``""`` here.
 
-    Rows are first counted per (pair, model, answer), which spreads a pair
-    with very many rows over tasks; only keys and counts are shuffled. With
-    ``marked`` the rows flagged ``_excluded`` are counted too.
+    Rows are first combined per (pair, answer), which spreads a pair with very
+    many rows over tasks; keys, counts and model names are all that is
+    shuffled. The sets hold models, so they are as short as the model list.
+    With ``marked`` the rows flagged ``_excluded`` are counted too.
     """
-    counts = [F.count(F.lit(1)).alias("_rows")]
+    # A struct, since a set leaves out nulls and a missing model counts as one.
+    each_sums = [F.count(F.lit(1)).alias("_rows"),
+                 F.sort_array(F.collect_set(F.struct("model"))).alias("_models")]
+    pair_sums = [F.sum("_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_answers"),
+                 F.array_size(F.array_distinct(F.flatten(F.collect_set("_models")))).cast("long").alias("n_models")]
     if marked:
-        counts.append(F.count_if("_excluded").alias("_excluded"))
-    each = (df.groupBy(pair_of(df).alias("_pair"), F.col("model"),
-                       answer_key(F.coalesce("answer", F.lit(""))).alias("_answer")).agg(*counts))
-    models = F.count_distinct("model") + F.max(F.col("model").isNull().cast("int"))
-    sums = [F.sum("_rows").alias("n_rows"), models.alias("n_models"), F.count_distinct("_answer").alias("n_answers")]
-    if marked:
-        sums.append(F.sum("_excluded").alias("n_excluded"))
+        each_sums.append(F.count_if("_excluded").alias("_excluded"))
+        pair_sums.append(F.sum("_excluded").alias("n_excluded"))
+    answer = answer_key(F.coalesce("answer", F.lit("")))
+    each = df.groupBy(pair_of(df).alias("_pair"), answer.alias("_answer")).agg(*each_sums)
     level = disagreement_level(F.col("n_models"), F.col("n_answers"), is_complete(F.col("_pair")))
-    return each.groupBy("_pair").agg(*sums).withColumn("level", level)
+    return each.groupBy("_pair").agg(*pair_sums).withColumn("level", level)
 
 
 def disagreement(df: DataFrame) -> DataFrame:

@@ -35,9 +35,9 @@ def _csv_shards(spark, sf_dir) -> str:
     folder = scratch_path(spark, "shards")
     inputs = qa_inputs(spark, sf_dir).withColumnsRenamed({"question": "query", "context": "text"})
     english = F.col("title") == "en"
-    reports.write_shards(inputs.where(english).select("query", "text", "_id", "_shard"), folder, slices=4)
+    reports.write_shards(inputs.where(english).select("query", "text", "_id", "_shard"), folder)
     reports.write_shards(inputs.where(~english).select("_id", "text", "query", "title", "_shard"), folder,
-                         slices=4, mode="append")
+                         mode="append")
     return folder
 
 

@@ -41,15 +41,13 @@ def write_results_csv(df: DataFrame, run_folder: str, gzip: bool = False, rows_p
     return path
 
 
-def write_shards(df: DataFrame, folder: str, slices: int = 1, mode: str = "overwrite") -> None:
+def write_shards(df: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """Write inputs as CSV shards, one folder per ``_shard``.
 
-    Each shard is spread over ``slices`` tasks, so a large one is not a
-    single task, and no task writes to more than a few shards.
+    Rows are brought together by shard, so that a task writes few files;
+    adaptive execution splits a shard that is large into several tasks.
     """
-    slot = F.pmod(F.xxhash64(*[c for c in df.columns if c != "_shard"][:1]), F.lit(slices))
-    (df.repartition(F.col("_shard"), slot).write.mode(mode).partitionBy("_shard")
-     .options(**CSV_OPTIONS).csv(folder))
+    (df.hint("rebalance", "_shard").write.mode(mode).partitionBy("_shard").options(**CSV_OPTIONS).csv(folder))
 
 
 def metrics_json(document: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def test_partitioned_shards(spark, tmp_path):
     df = spark.createDataFrame([("1", "q", 'a "b",\nc', "s one.csv"), ("2", "", None, "s+2.csv")],
                                "_id string, query string, text string, _shard string")
     folder = str(tmp_path / "parts")
-    reports.write_shards(df, folder, slices=2)
+    reports.write_shards(df, folder)
     assert [r["_shard"] for r in shards.shard_catalog(spark, folder).collect()] == ["s one.csv", "s+2.csv"]
     back = {r["_id"]: r for r in shards.load_shards(spark, folder).collect()}
     assert (back["1"].text, back["1"]["_shard"]) == ('a "b",\nc', "s one.csv")
