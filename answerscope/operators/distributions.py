@@ -43,12 +43,13 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """
     present = df.where(F.col(value).isNotNull()).select(value)
     span = bounds_of(present, value)
-    lo, hi = span.getField("lo"), span.getField("hi")
-    counts = (present.groupBy(_bin_of(F.col(value), lo, hi, bins).alias("bin"))
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    counts = (present.withColumn("_b", span).groupBy(_bin_of(F.col(value), lo, hi, bins).alias("bin"))
               .agg(F.count(F.lit(1)).alias("count"), F.sum(value).alias("_sum")))
     step = (hi - lo) / bins
     all_bins = Window.partitionBy()  # one row per bin
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).where(lo.isNotNull())
+    grid = (df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), span.alias("_b"))
+            .where(lo.isNotNull()))
     return (grid.join(counts, "bin", "left")
             .select("bin", (lo + F.col("bin") * step).alias("lower"), (lo + (F.col("bin") + 1) * step).alias("upper"),
                     F.coalesce("count", F.lit(0)).alias("count"),
@@ -62,13 +63,14 @@ def density(df: DataFrame, value: str = "score", bins: int = 40) -> DataFrame:
     """
     present = df.where(F.col(value).isNotNull() & F.col("model").isNotNull()).select("model", value)
     span = bounds_of(present, value)
-    lo, hi = span.getField("lo"), span.getField("hi")
-    counts = (present.groupBy("model", _bin_of(F.col(value), lo, hi, bins).alias("bin"))
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    counts = (present.withColumn("_b", span).groupBy("model", _bin_of(F.col(value), lo, hi, bins).alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
     # At most `bins` entries per model are gathered.
     per_model = counts.groupBy("model").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("m"), F.sum("count").alias("n"))
-    grid = per_model.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    grid = (per_model.withColumn("_b", span)
+            .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))))
     count = F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0))
     step = (hi - lo) / bins
     return grid.select("model", "bin", (lo + F.col("bin") * step).alias("lower"), count.alias("count"),
@@ -106,12 +108,12 @@ def box_overall(df: DataFrame, value: str) -> DataFrame:
     """The box beside a histogram: one summary over all rows."""
     present = df.where(F.col(value).isNotNull()).select(F.lit("all").alias("group"), value)
     fenced = _with_fences(exact_quantiles(present, "group", value, QUARTILES))
-    box = fenced.select(F.struct(*_BOX)).scalar()
-    counted = present.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    summary = counted.agg(*_box_columns(value, box.getField("lower_fence"), box.getField("upper_fence"), F.col("c")))
+    counted = (present.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
+               .withColumn("box", fenced.select(F.struct(*_BOX)).scalar()))
+    summary = counted.agg(F.max("box").alias("box"), *_box_columns(
+        value, F.col("box.lower_fence"), F.col("box.upper_fence"), F.col("c")))
     return (summary.where(F.col("n").isNotNull())
-            .select(F.lit("all").alias("group"), "n", *[box.getField(c).alias(c) for c in _BOX],
-                    "whisker_low", "whisker_high", "outliers"))
+            .select(F.lit("all").alias("group"), "n", "box.*", "whisker_low", "whisker_high", "outliers"))
 
 
 def trend(df: DataFrame, x: str, y: str = "score") -> DataFrame:

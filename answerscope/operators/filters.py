@@ -24,7 +24,7 @@ def filter_home(df: DataFrame, min_score: float = 0.0, min_overlap: float = 0.0,
     ``models=None`` means no choice was made; an empty list keeps no row.
     """
     keep = (F.coalesce("score", F.lit(0.0)) >= min_score) & (F.coalesce("overlap", F.lit(0.0)) >= min_overlap)
-    if models is not None:
+    if models is not None and "model" in df.columns:
         keep = keep & F.col("model").isin(list(models))
     if keyword:
         keep = keep & keyword_match(keyword, literal)
@@ -40,7 +40,7 @@ def filter_advanced(df: DataFrame, score_range=None, length_range=None, models=N
     keep = _within("score", score_range)
     if "question_length" in df.columns:
         keep = keep & _within("question_length", length_range)
-    if models:
+    if models and "model" in df.columns:
         keep = keep & F.col("model").isin(list(models))
     return df.where(keep)
 

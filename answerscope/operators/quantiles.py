@@ -26,12 +26,15 @@ def order_statistics(df: DataFrame, key: str, value: str, probs) -> DataFrame:
               .groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
               .agg(F.count(F.lit(1)).alias("c")))
     span = counts.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c")).alias("s")).scalar()
-    place = F.try_divide(F.col("v") - span.getField("lo"), span.getField("hi") - span.getField("lo"))
+    # One column holds the scalar, so that its plan is optimised once per branch.
+    spanned = counts.withColumn("s", span)
+    place = F.try_divide(F.col("v") - F.col("s.lo"), F.col("s.hi") - F.col("s.lo"))
     # Never null, so that no null check on a join key is pushed into one of the
     # branches, which would make it differ from the others and be computed anew.
     fine = F.coalesce(F.floor(place * float(1 << 2 * _BITS)), F.lit(0))
-    spread = counts.select("k", "v", "c", F.shiftright(fine, _BITS).alias("b1"),
-                           fine.bitwiseAND(F.lit((1 << _BITS) - 1)).alias("b2"))
+    spread = spanned.select("k", "v", "c", fine.alias("fine")).select(
+        "k", "v", "c", F.shiftright("fine", _BITS).alias("b1"),
+        F.col("fine").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("b2"))
 
     of_key = Window.partitionBy("k")
     coarse = spread.groupBy("k", "b1").agg(F.sum("c").alias("c"))

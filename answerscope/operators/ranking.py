@@ -24,6 +24,9 @@ def best_model_rows(df: DataFrame) -> DataFrame:
 
 
 def best_model_extremes(df: DataFrame, largest: bool, count: int = 10) -> DataFrame:
+    """Best or worst rows of that model, or of the table if it names no models."""
+    if "model" not in df.columns:
+        return extremes(df, "score", count, largest, ties=("_id",))
     return extremes(best_model_rows(df), "score", count, largest)
 
 

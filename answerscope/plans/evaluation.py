@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import clean_overlap
 from ..operators import compare, disagreement, distributions, filters, metrics, predict, ranking
 from ..sinks import reports
-from ..sources.columns import annotate, head_rows, normalize_input
+from ..sources.columns import annotate, head_rows, normalize_input, with_row_id
 from ..sources.shards import load_shards
 
 
@@ -39,7 +40,7 @@ def run_evaluation(spark: SparkSession, shards: str, output: str, selection="all
     inputs = load_shards(spark, shards, selection)
     if max_samples:
         inputs = head_rows(inputs, max_samples)
-    inputs = normalize_input(inputs)
+    inputs = with_row_id(normalize_input(inputs))
     failures = predict.load_failures(spark, models)
     good = [m for m in models if m.key not in failures]
     if not good:
@@ -64,27 +65,32 @@ def home_analysis(df: DataFrame, min_score: float = 0.0, min_overlap: float = 0.
                   keyword: str = "") -> dict[str, DataFrame]:
     """The panels of the first view; the filters act on the panels marked so."""
     kept = filters.filter_home(df, min_score, min_overlap, models, keyword)
-    pairs = disagreement.sample_pairs(df)
-    return {
+    panels = {
         "headline": metrics.headline_metrics(df),
         "score_histogram": distributions.histogram(kept, "score", 40),  # filtered
-        "model_stats": metrics.model_stats(kept),  # filtered
-        "performance": metrics.performance_tiers(df),
-        "best_model": metrics.best_model(df),
         "top10": ranking.best_model_extremes(df, True),
         "bottom10": ranking.best_model_extremes(df, False),
-        "examples": disagreement.side_by_side(df, pairs),
         "rows": kept,  # filtered
     }
+    if "model" in df.columns:
+        panels |= {
+            "model_stats": metrics.model_stats(kept),  # filtered
+            "performance": metrics.performance_tiers(df),
+            "best_model": metrics.best_model(df),
+            "examples": disagreement.side_by_side(df, disagreement.sample_pairs(df)),
+        }
+    return panels
 
 
 def advanced_analysis(df: DataFrame, score_range=None, length_range=None, models=None) -> dict[str, DataFrame]:
     """The panels of the second view, all on the filtered rows."""
     kept = filters.filter_advanced(df, score_range, length_range, models)
-    return {
+    by_model = {} if "model" not in df.columns else {
         "describe": distributions.score_describe(kept),
         "box": distributions.box_summary(kept),
         "density": distributions.density(kept),
+    }
+    return by_model | {
         "trend_length": distributions.trend(kept, "question_length"),
         "trend_overlap": distributions.trend(kept, "overlap"),
         "overlap_histogram": distributions.histogram(kept, "overlap", 30),
@@ -96,8 +102,13 @@ def advanced_analysis(df: DataFrame, score_range=None, length_range=None, models
     }
 
 
-def two_model_study(df: DataFrame, a: str, b: str) -> dict[str, DataFrame]:
-    """The blocks of the comparison of two models."""
+def two_model_study(df: DataFrame, a: str, b: str, cleaned: bool = False) -> dict[str, DataFrame]:
+    """The blocks of the comparison of two models.
+
+    With ``cleaned`` the overlap is taken anew between cleaned texts.
+    """
+    if cleaned:
+        df = df.withColumn("overlap", clean_overlap(F.col("answer"), F.col("context")))
     return {
         "wide": compare.wide_compare(df, a, b),
         "summary": compare.wide_summary(df, a, b),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.keys import pair_id, pair_key
 from ..functions.statistics import to_number
 from ..functions.text import char_count, word_overlap
 from ..schema import CSV_NULL_TOKENS, REQUIRED_RESULT_COLUMNS, RESULT_ALIASES
@@ -57,6 +58,9 @@ def normalize_results(df: DataFrame) -> DataFrame:
         *[F.col(f"`{c}`") for c in df.columns if c not in taken and c.lower() not in found],
     )
     out = out.withColumn("score", to_number(F.col("score")))
+    if "_id" not in out.columns:
+        # Analyses order and match rows by an id; the pair is the best there is.
+        out = out.withColumn("_id", pair_id(pair_key(F.col("question"), F.col("context"))))
     if "overlap" in found:
         return out.withColumn("overlap", to_number(F.col("overlap")))
     return out.withColumn("overlap", word_overlap(F.col("answer"), F.col("context")))
@@ -78,6 +82,16 @@ def annotate(df: DataFrame) -> DataFrame:
     })
 
 
+def with_row_id(df: DataFrame, prefix: str = "") -> DataFrame:
+    """Number the rows as ``_id`` if they have none.
+
+    The numbers follow the partitions, so store them before they are used twice.
+    """
+    if "_id" in df.columns:
+        return df
+    return df.withColumn("_id", F.concat(F.lit(prefix), F.monotonically_increasing_id().cast("string")))
+
+
 def null_tokens_to_null(df: DataFrame, columns=None) -> DataFrame:
     """Turn the CSV spellings of "missing" into nulls."""
     columns = [c for c in (columns or df.columns) if dict(df.dtypes)[c] == "string"]

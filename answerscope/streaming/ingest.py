@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.predict import Model, fan_out, load_failures
 from ..sinks.reports import write_predictions
-from ..sources.columns import annotate, normalize_input, null_tokens_to_null
+from ..sources.columns import annotate, normalize_input, null_tokens_to_null, with_row_id
 from ..sources.shards import CSV_READ_OPTIONS, file_shard
 
 
@@ -37,7 +37,7 @@ def evaluate_new_shards(stream: DataFrame, models: Sequence[Model], table: str,
         spark = batch.sparkSession
         later = F.date_format(started + F.make_interval(secs=F.lit(number)), "yyyyMMdd_HHmmss")
         name = spark.range(1).select(later).first()[0]
-        raw = fan_out(normalize_input(batch), good, batch_size, extra=extra, strict=True)
+        raw = fan_out(with_row_id(normalize_input(batch), f"{number}-"), good, batch_size, extra=extra, strict=True)
         write_predictions(annotate(raw), table, name)
 
     return (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

@@ -111,12 +111,26 @@ def test_run_evaluation(spark, tmp_path):
     for panels in (home_analysis(run.results), advanced_analysis(run.results), two_model_study(run.results, "lead", "echo")):
         for name, panel in panels.items():
             panel.collect(), name
+    two_model_study(run.results, "lead", "echo", cleaned=True)["tiers"].collect()
+    nameless = run.results.drop("model")
+    for panels in (home_analysis(nameless, models=["lead"]), advanced_analysis(nameless, models=["lead"])):
+        assert "model_stats" not in panels and "describe" not in panels
+        for panel in panels.values():
+            panel.collect()
     capped = run_evaluation(spark, str(folder), str(tmp_path / "small"), "all", models[:1], max_samples=3)
     assert sorted(r["_id"] for r in capped.results.collect()) == ["1", "2", "3"]
     with pytest.raises(RuntimeError):
         run_evaluation(spark, str(folder), str(tmp_path / "none"), "all", models[3:])
 
 
+def test_inputs_without_ids_are_numbered(spark, tmp_path):
+    folder = tmp_path / "shards"
+    folder.mkdir()
+    (folder / "a.csv").write_text("question,context\nq,c\nq,c\nq2,c\n")
+    run = run_evaluation(spark, str(folder), str(tmp_path / "out"), models=[stand_in_models()["lead"]])
+    assert run.results.select("_id").distinct().count() == 3
+
+
 def test_new_shards_are_evaluated_once(spark, tmp_path):
     folder = tmp_path / "arriving"
     folder.mkdir()

@@ -97,7 +97,8 @@ def test_result_names(spark):
     df = spark.createDataFrame([("q", "a b", "a", "0.5", "x", "m", 1)],
                                "Prompt string, PREDICTION string, passage string, confidence string, overlap string, Model_Name string, n int")
     out = columns.normalize_results(df)
-    assert out.columns == ["question", "answer", "context", "score", "overlap", "model", "n"]
+    assert out.columns == ["question", "answer", "context", "score", "overlap", "model", "n", "_id"]
+    assert columns.normalize_results(df.withColumn("_id", F.lit("7"))).first()["_id"] == "7"
     assert (out.first().score, out.first().overlap) == (0.5, None)
     assert columns.normalize_results(df.drop("overlap")).first().overlap == 0.5
     both = columns.result_aliases(["query", "Question", "model_name", "model"])
