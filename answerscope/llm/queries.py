@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import substring_dedup as substrings, suffix_dedup as suffixes
+from . import quality_rules as rules, substring_dedup as substrings, suffix_dedup as suffixes
 
 
 def _read(spark, sf_dir, name):
@@ -16,10 +16,16 @@ def op1_substring_dedup(spark, sf_dir):
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_quality_rules(spark, sf_dir):
+    judged = rules.quality_rules(_read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "n_failed_lines", "failed_chars")
+
+
 def op4_suffix_dedup(spark, sf_dir):
     done = suffixes.suffix_dedup(_read(spark, sf_dir, "documents"), width=100)
     return done.select("doc_id", "n_bytes", "n_removed", (F.size("removed_spans") / 2).cast("bigint").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_suffix_dedup)}
