@@ -5,7 +5,9 @@ Documents are dealt into chunks of some megabytes. A chunk sends each owner
 the owner answers with one bit per key in the same order. Keys are distinct in
 a chunk before they are sent, so a key that fills a third of the corpus costs
 its owner one entry per chunk. The number of chunks follows the bytes of the
-corpus, the number of owners the partitions, so tasks stay of one size.
+corpus, the number of owners the chunks, so tasks stay of one size. A row goes
+from a chunk to an owner only if there are keys to ask for, so there are never
+more rows than keys.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ def in_chunks(docs: DataFrame, columns: list[str], text: str = "text", key: str
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = partitions_of(docs)
-    chunks = max(2 * parts, size // CHUNK_BYTES + 1)
-    return docs.select(*columns, F.pmod(F.xxhash64(key, text), F.lit(chunks)).alias("chunk")), max(2 * parts, chunks // 4)
+    chunks = max(parts, size // CHUNK_BYTES + 1)
+    return docs.select(*columns, F.pmod(F.xxhash64(key, text), F.lit(chunks)).alias("chunk")), max(parts, chunks // 4)
 
 
 def owner_keys(hashes: np.ndarray, second: np.ndarray, owners: int, bits: int) -> np.ndarray:
