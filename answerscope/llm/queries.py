@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality_rules as rules, substring_dedup as substrings, suffix_dedup as suffixes
+from . import chat_format as chats, license_scan as licenses, line_dedup, mixing, quality_rules as rules, substring_dedup as substrings, suffix_dedup as suffixes
 
 
 def _read(spark, sf_dir, name):
@@ -28,4 +28,23 @@ def op4_suffix_dedup(spark, sf_dir):
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_suffix_dedup)}
+def op5_license_scan(spark, sf_dir):
+    return licenses.license_scan(_read(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark, sf_dir):
+    done = line_dedup.line_dedup(_read(spark, sf_dir, "documents"), least=10)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_mix_sources(spark, sf_dir):
+    return mixing.mix_sources(_read(spark, sf_dir, "documents"), weights=0.5, seed=9).select(
+        "doc_id", "source", "lang", "text", "copy", "shuffle_key")
+
+
+def op10_chat_format(spark, sf_dir):
+    return chats.chat_format(_read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_suffix_dedup, op5_license_scan, op7_line_dedup,
+                                   op9_mix_sources, op10_chat_format)}
