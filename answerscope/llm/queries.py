@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format as chats, license_scan as licenses, line_dedup, mixing, quality_rules as rules, substring_dedup as substrings, suffix_dedup as suffixes
+from . import chat_format as chats, decontamination, license_scan as licenses, line_dedup, mixing, quality_rules as rules, substring_dedup as substrings, suffix_dedup as suffixes
 
 
 def _read(spark, sf_dir, name):
@@ -22,6 +22,14 @@ def op2_quality_rules(spark, sf_dir):
                          "base_failed", "kept", "n_failed_lines", "failed_chars")
 
 
+def op3_decontaminate(spark, sf_dir):
+    done = decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=10)
+    size = lambda c: F.size(c).cast("bigint")
+    return done.select("doc_id", "n_words", size("hits").alias("n_hit"), size("items").alias("n_items"),
+                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                       (F.size("hits") > 0).alias("contaminated"))
+
+
 def op4_suffix_dedup(spark, sf_dir):
     done = suffixes.suffix_dedup(_read(spark, sf_dir, "documents"), width=100)
     return done.select("doc_id", "n_bytes", "n_removed", (F.size("removed_spans") / 2).cast("bigint").alias("n_spans"),
@@ -46,5 +54,5 @@ def op10_chat_format(spark, sf_dir):
     return chats.chat_format(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_suffix_dedup, op5_license_scan, op7_line_dedup,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_decontaminate, op4_suffix_dedup, op5_license_scan, op7_line_dedup,
                                    op9_mix_sources, op10_chat_format)}

@@ -86,6 +86,21 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_base, 0) as n_base, fir
        coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
 from docs d left join by_doc b using (doc_id)"""
 
+_OP3 = f"""
+with items as (select item_id::varchar as item, {_ALNUM.format('text')} as w from benchmark),
+windows as (
+  select item, least(len(w), 10) as n, array_to_string(w[i + 1:i + 10], ' ') as said
+  from (select item, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) as i from items where len(w) > 0)),
+docs as (select doc_id, {_ALNUM.format('text')} as w from documents),
+sizes as (select distinct n from windows),
+places as (select doc_id, n, w, unnest(range(0, len(w) - n + 1)) as i from docs, sizes where len(w) >= n),
+found as (select p.doc_id, p.i, p.n, x.item from places p join windows x on x.n = p.n and x.said = array_to_string(p.w[p.i + 1:p.i + p.n], ' ')),
+hit as (select doc_id, count(distinct i + d) as n_hit from found, range(0, 10) t(d) where d < n group by doc_id),
+named as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from found group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hit using (doc_id) left join named using (doc_id)"""
+
 _OP7 = f"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -136,6 +151,7 @@ from rendered"""
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _OP2,
+    "op3_decontaminate": _OP3,
     "op5_license_scan": _OP5,
     "op7_line_dedup": _OP7,
     "op9_mix_sources": _OP9,
