@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format as chats, decontamination, license_scan as licenses, line_dedup, mixing, quality_rules as rules, substring_dedup as substrings, suffix_dedup as suffixes
+from . import chat_format as chats, decontamination, language_id, license_scan as licenses, line_dedup, mixing, quality_rules as rules, substring_dedup as substrings, suffix_dedup as suffixes
 
 
 def _read(spark, sf_dir, name):
@@ -40,6 +40,13 @@ def op5_license_scan(spark, sf_dir):
     return licenses.license_scan(_read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return language_id.identify(docs, language_id.fit(docs)).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op7_line_dedup(spark, sf_dir):
     done = line_dedup.line_dedup(_read(spark, sf_dir, "documents"), least=10)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -54,5 +61,5 @@ def op10_chat_format(spark, sf_dir):
     return chats.chat_format(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_decontaminate, op4_suffix_dedup, op5_license_scan, op7_line_dedup,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_decontaminate, op4_suffix_dedup, op5_license_scan, op6_language_id, op7_line_dedup,
                                    op9_mix_sources, op10_chat_format)}
