@@ -105,13 +105,16 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Words:
     """The words of a batch of texts.
 
-    ``starts`` and ``ends`` are byte places, ``first`` has each text's first
+    ``kind`` is ``spaced`` (divided by ASCII white space), ``lowered`` (the
+    same with A-Z in lower case) or ``alphanumeric`` (lower-cased, divided by
+    all other ASCII characters too). ``starts`` and ``ends`` are byte places,
+    ``first`` has each text's first
     word (``n + 1`` values), ``hashes`` one 64-bit hash per word.
     """
 
     def __init__(self, column, kind: str = "spaced"):
         self.bytes, self.offsets = utf8(column)
-        if kind == "alphanumeric":
+        if kind != "spaced":
             self.bytes = LOWER[self.bytes]
         inside = ALPHANUMERIC[self.bytes] if kind == "alphanumeric" else ~SPACES[self.bytes]
         self.starts, self.ends = runs(inside, self.offsets)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format as chats, decontamination, language_id, license_scan as licenses, line_dedup, mixing, quality_rules as rules, substring_dedup as substrings, suffix_dedup as suffixes
+from . import chat_format as chats, decontamination, language_id, license_scan as licenses, line_dedup, mixing, near_dedup, quality_rules as rules, substring_dedup as substrings, suffix_dedup as suffixes
 
 
 def _read(spark, sf_dir, name):
@@ -52,6 +52,10 @@ def op7_line_dedup(spark, sf_dir):
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=85).drop("text")
+
+
 def op9_mix_sources(spark, sf_dir):
     return mixing.mix_sources(_read(spark, sf_dir, "documents"), weights=0.5, seed=9).select(
         "doc_id", "source", "lang", "text", "copy", "shuffle_key")
@@ -61,5 +65,6 @@ def op10_chat_format(spark, sf_dir):
     return chats.chat_format(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_decontaminate, op4_suffix_dedup, op5_license_scan, op6_language_id, op7_line_dedup,
-                                   op9_mix_sources, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (
+    op1_substring_dedup, op2_quality_rules, op3_decontaminate, op4_suffix_dedup, op5_license_scan, op6_language_id,
+    op7_line_dedup, op8_near_dedup, op9_mix_sources, op10_chat_format)}
