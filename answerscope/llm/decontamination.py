@@ -248,3 +248,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, slop: int
     read.
     """
     return search(build_index(docs, text, key), items, width, slop, text, item).withColumnRenamed("key", key)
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, width: int = 10, text: str = "text", key: str = "doc_id",
+                    item: str = "item_id") -> DataFrame:
+    """The rows without an exact match, in the columns of ``docs``.
+
+    Rows are told apart by a hash of key and text, so missing and repeated keys
+    do no harm; equal rows share their verdict.
+    """
+    named = docs.withColumn("_row", F.xxhash64(key, text))
+    found = decontaminate(named, items, width, 0, text, "_row", item).where(F.size("hits") > 0)
+    return named.join(stored(found.select("_row").distinct(), "leaks"), "_row", "left_anti").select(*docs.columns)
