@@ -12,15 +12,20 @@ from answerscope.llm import decontamination, line_dedup, mixing, near_dedup, qua
 from answerscope.llm.native import stored
 
 
+def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The columns, with a new text and its length."""
+    new = {"text": F.col(text).alias("text"), "n_chars": F.length(text).cast("bigint").alias("n_chars")}
+    return docs.select(*[new.get(c, F.col(c)) for c in columns])
+
+
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failed lines go from the texts, documents that lose too much go as a whole."""
-    return quality_rules.kept_documents(docs)
+    return _with_text(quality_rules.quality_rules(docs).where("kept"), docs.columns, "clean_text")
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten documents or more go from all of them; every document stays."""
-    done = line_dedup.line_dedup(docs, least=10)
-    return done.select(*[F.col("kept_text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return _with_text(line_dedup.line_dedup(docs, least=10), docs.columns, "kept_text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
