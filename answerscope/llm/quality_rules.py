@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from ..session import ship_package
@@ -110,9 +110,3 @@ def quality_rules(docs: DataFrame, text: str = "text", max_loss: int = 30) -> Da
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *new], names=[*own, *added.names])
 
     return docs.select(*own).mapInArrow(judged, schema)
-
-
-def kept_documents(docs: DataFrame, text: str = "text", max_loss: int = 30) -> DataFrame:
-    """The documents that pass, with cleaned texts, in the columns of ``docs``."""
-    judged = quality_rules(docs, text, max_loss).where("kept")
-    return judged.select(*[F.col("clean_text").alias(c) if c == text else F.col(c) for c in docs.columns])
