@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 PAIR_KEY = "pair_key"
+ROW_KEY = "row_id"
 
 
 def pair_key(question: Column, context: Column) -> Column:
@@ -26,6 +27,23 @@ def pair_of(df: DataFrame) -> Column:
     return F.col(PAIR_KEY) if PAIR_KEY in df.columns else pair_key(F.col("question"), F.col("context"))
 
 
+def row_of(df: DataFrame) -> Column:
+    """What tells an input row from all others, never null.
+
+    Tables written by a run have it as a column, made once when the shards were
+    loaded. Elsewhere it is the id together with the pair, since ids may be
+    missing or come from several shards.
+    """
+    if ROW_KEY in df.columns:
+        return F.col(ROW_KEY)
+    named = F.coalesce(F.col("_id").cast("string"), F.lit("")) if "_id" in df.columns else F.lit("")
+    return F.concat_ws("|", named, pair_id(pair_of(df)))
+
+
+def with_row(df: DataFrame) -> DataFrame:
+    return df.withColumn("_row", row_of(df))
+
+
 def is_complete(key: Column) -> Column:
     """Whether both sides of the pair are present."""
     return F.octet_length(key) == 32

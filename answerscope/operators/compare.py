@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.bands import EXPLICIT_TIERS, OVERLAP_TIER_NAMES, RISKY_TIERS, overlap_tier, overlap_verdict
-from ..functions.keys import seeded_order
+from ..functions.keys import seeded_order, with_row
 from ..functions.text import answers_differ
-from .ranking import extreme_ids, extremes
+from .ranking import extreme_inputs, extremes
 
 SEED = 42
 
@@ -19,9 +19,10 @@ def _winner(left: Column, right: Column, a: str, b: str) -> Column:
 
 
 def wide_scores(df: DataFrame, models) -> DataFrame:
-    """Numbers only, one row per input: ``<m>_score``, ``overlap_<m>``.
+    """Numbers only, one row per input: ``_row, _id, <m>_score, overlap_<m>``.
 
-    Fixed-width columns keep this a hash aggregate that combines the rows of
+    An input is told by ``_row`` (see ``row_of``); ``_id`` is passed through
+    and may be missing or repeated. Fixed-width columns keep this a hash aggregate that combines the rows of
     one input before the shuffle.
     """
     picks = []
@@ -29,27 +30,27 @@ def wide_scores(df: DataFrame, models) -> DataFrame:
         of_model = F.col("model") == m
         picks += [F.max(F.when(of_model, F.col("score"))).alias(f"{m}_score"),
                   F.max(F.when(of_model, F.col("overlap"))).alias(f"overlap_{m}")]
-    return df.where(F.col("model").isin(list(models))).groupBy("_id").agg(
-        *picks, F.max("question_length").alias("question_length"), F.max("context_length").alias("context_length"))
+    return with_row(df.where(F.col("model").isin(list(models)))).groupBy("_row").agg(
+        F.min("_id").alias("_id"), *picks, F.max("question_length").alias("question_length"), F.max("context_length").alias("context_length"))
 
 
 def wide_compare(df: DataFrame, a: str, b: str, with_text: bool = False) -> DataFrame:
-    """Long to wide for models ``a`` and ``b`` with differences and winners.
+    """Long to wide for models ``a`` and ``b`` with differences and winners, one row per input.
 
     The texts of the input row are carried only on request; rows of one input
     lie together in a written table, so they combine before the shuffle.
     """
-    picks = []
-    for m in (a, b):
-        row = F.struct("answer", "score", "overlap")
-        picks.append(F.max(F.when(F.col("model") == m, row)).alias(f"_{m}"))
+    return with_winners(_wide(df, a, b, with_text).drop("_row"), a, b)
+
+
+def _wide(df: DataFrame, a: str, b: str, with_text: bool = False) -> DataFrame:
+    names = [(c, m, f"{m}_{c}" if c != "overlap" else f"overlap_{m}") for m in (a, b) for c in ("answer", "score", "overlap")]
+    picks = [F.max(F.when(F.col("model") == m, F.col(c))).alias(n) for c, m, n in names]
     texts = [F.max(c).alias(c) for c in ("question", "context")] if with_text else []
     sizes = [F.max("question_length").alias("question_length"), F.max("context_length").alias("context_length")]
-    wide = df.where(F.col("model").isin(a, b)).groupBy("_id").agg(*picks, *texts, *sizes)
-    flat = wide.select("_id", *[t for t in ("question", "context") if with_text], "question_length", "context_length", *[
-        F.col(f"_{m}.{field}").alias(name) for m in (a, b)
-        for field, name in (("answer", f"{m}_answer"), ("score", f"{m}_score"), ("overlap", f"overlap_{m}"))])
-    return with_winners(flat, a, b)
+    wide = with_row(df.where(F.col("model").isin(a, b))).groupBy("_row").agg(F.min("_id").alias("_id"), *picks, *texts, *sizes)
+    return wide.select("_row", "_id", *[t for t in ("question", "context") if with_text], "question_length", "context_length",
+                       *[n for _, _, n in names])
 
 
 def with_winners(wide: DataFrame, a: str, b: str) -> DataFrame:
@@ -65,6 +66,10 @@ def best_worst(df: DataFrame, models) -> DataFrame:
 
     On a tie the first model of the list holds it; without scores the last.
     """
+    return _best_worst(df, models).drop("_row")
+
+
+def _best_worst(df: DataFrame, models) -> DataFrame:
     wide = wide_scores(df, models)
     scores = [F.col(f"{m}_score") for m in models]
     best, worst = (F.greatest(*scores), F.least(*scores)) if len(scores) > 1 else (scores[0], scores[0])
@@ -76,14 +81,14 @@ def best_worst(df: DataFrame, models) -> DataFrame:
         return reduce(lambda c, m: c.when(F.col(f"{m}_score") == extreme, m), first[1:],
                       F.when(F.col(f"{first[0]}_score") == extreme, first[0])).otherwise(last)
 
-    return wide.select("_id", *scores, best.alias("best_score"), worst.alias("worst_score"),
+    return wide.select("_row", "_id", *scores, best.alias("best_score"), worst.alias("worst_score"),
                        holder(best).alias("best_score_model"), holder(worst).alias("worst_score_model"))
 
 
 def global_extremes(df: DataFrame, models, largest: bool, count: int = 10) -> DataFrame:
     """Inputs with the best row-best score, or the worst row-worst score."""
     by = "best_score" if largest else "worst_score"
-    return extremes(best_worst(df, models), by, count, largest, ties=("_id",))
+    return extremes(_best_worst(df, models), by, count, largest, ties=("_id", "_row")).drop("_row")
 
 
 def extreme_model_counts(df: DataFrame, models, count: int = 10) -> DataFrame:
@@ -166,13 +171,17 @@ def sample_differing(df: DataFrame, a: str, b: str, count: int = 5, seed: int =
     out; fewer rows are returned if fewer differ. Nothing is returned if
     fewer than ``count`` inputs remain after the exclusion.
     """
-    wide = wide_compare(df, a, b, with_text=with_text)
-    # At most 40 ids are excluded.
-    rest = wide.join(extreme_ids(df, (a, b)), "_id", "left_anti")
-    enough = wide_scores(df, (a, b)).select("_id").join(extreme_ids(df, (a, b)), "_id", "left_anti").limit(count)
-    remaining = enough.agg(F.count(F.lit(1))).scalar()
+    # At most 40 inputs are excluded.
+    rest = _wide(df, a, b).join(extreme_inputs(df, (a, b)).select("_row"), "_row", "left_anti")
+    remaining = rest.select("_row").limit(count).agg(F.count(F.lit(1))).scalar()
     differing = rest.where(answers_differ(F.col(f"{a}_answer"), F.col(f"{b}_answer")) & (remaining >= count))
-    return differing.orderBy(seeded_order(seed, F.col("_id")), "_id").limit(count)
+    picked = with_winners(differing.orderBy(seeded_order(seed, F.col("_id")), "_id", "_row").limit(count), a, b)
+    if with_text:
+        # Texts are read for the picked inputs alone.
+        texts = with_row(df.where(F.col("model").isin(a, b))).select("_row", "question", "context")
+        texts = texts.join(picked.select("_row"), "_row", "left_semi").groupBy("_row").agg(F.max("question").alias("question"), F.max("context").alias("context"))
+        picked = picked.join(texts, "_row")
+    return picked.drop("_row")
 
 
 def sample_means(df: DataFrame, a: str, b: str, count: int = 5, seed: int = SEED) -> DataFrame:

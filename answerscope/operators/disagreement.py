@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.keys import answer_key, is_complete, pair_id, pair_of, seeded_order
+from ..functions.keys import answer_key, is_complete, pair_id, pair_of, seeded_order, with_row
 from ..functions.text import preview
 from .ranking import best_model_extremes
 
@@ -30,21 +30,20 @@ def disagreement_level(models: Column, answers: Column, complete: Column) -> Col
 def _pair_classes(df: DataFrame, marked: bool = False) -> DataFrame:
     """One row per pair, keyed by ``_pair``. A null answer equals ``""`` here.
 
-    Rows are first combined per (pair, answer), which spreads a pair with very
-    many rows over tasks; keys, counts and model names are all that is
-    shuffled. The sets hold models, so they are as short as the model list.
-    With ``marked`` the rows flagged ``_excluded`` are counted too.
+    Rows are first counted per (pair, answer, model), which spreads a pair with
+    very many rows over tasks; keys, counts and model names are all that is
+    shuffled. With ``marked`` the rows flagged ``_excluded`` are counted too.
     """
-    # A struct, since a set leaves out nulls and a missing model counts as one.
-    each_sums = [F.count(F.lit(1)).alias("_rows"),
-                 F.sort_array(F.collect_set(F.struct("model"))).alias("_models")]
-    pair_sums = [F.sum("_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_answers"),
-                 F.array_size(F.array_distinct(F.flatten(F.collect_set("_models")))).cast("long").alias("n_models")]
+    # A missing model counts as one, so it needs a value of its own.
+    model = F.coalesce(F.concat(F.lit("m"), F.col("model")), F.lit("-"))
+    answer = answer_key(F.coalesce("answer", F.lit("")))
+    each_sums = [F.count(F.lit(1)).alias("_rows")]
+    pair_sums = [F.sum("_rows").alias("n_rows"), F.count_distinct("_answer").alias("n_answers"),
+                 F.count_distinct("_model").alias("n_models")]
     if marked:
         each_sums.append(F.count_if("_excluded").alias("_excluded"))
         pair_sums.append(F.sum("_excluded").alias("n_excluded"))
-    answer = answer_key(F.coalesce("answer", F.lit("")))
-    each = df.groupBy(pair_of(df).alias("_pair"), answer.alias("_answer")).agg(*each_sums)
+    each = df.groupBy(pair_of(df).alias("_pair"), answer.alias("_answer"), model.alias("_model")).agg(*each_sums)
     level = disagreement_level(F.col("n_models"), F.col("n_answers"), is_complete(F.col("_pair")))
     return each.groupBy("_pair").agg(*pair_sums).withColumn("level", level)
 
@@ -61,11 +60,12 @@ def sample_pairs(df: DataFrame, count: int = 5, seed: int = SEED) -> DataFrame:
     Pairs with full disagreement come first, partial ones fill up. The order
     within a tier and the final shuffle follow a seeded hash of the pair.
     """
-    narrow = df.select("_id", "model", "score", "overlap")
-    ends = [best_model_extremes(narrow, largest).select("_id", "model") for largest in (True, False)]
+    df = with_row(df)
+    narrow = df.select("_row", "_id", "model", "score", "overlap")
+    ends = [best_model_extremes(narrow, largest).select("_row", "model") for largest in (True, False)]
     # At most 20 rows; a row that is both best and worst counts once.
     excluded = ends[0].unionByName(ends[1]).distinct().withColumn("_excluded", F.lit(True))
-    marked = df.join(excluded, ["_id", "model"], "left")
+    marked = df.join(excluded, ["_row", "model"], "left")
     tier = F.when(F.col("level") == "full_disagreement", 0).when(F.col("level") == "partial_disagreement", 1)
     chosen = (_pair_classes(marked, marked=True).withColumn("_tier", tier)
               .where(F.col("_tier").isNotNull() & (F.col("n_rows") > F.col("n_excluded")))

@@ -97,11 +97,13 @@ def box_summary(df: DataFrame, value: str = "score", key: str = "model") -> Data
     """Quartiles, fences at 1.5 IQR, whiskers inside them and outliers per key."""
     present = df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(key, value)
     fenced = _with_fences(exact_quantiles(present, key, value, QUARTILES))
-    # Equal values are counted before they meet their fences.
-    counted = present.groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    return (counted.join(fenced, key).groupBy(key, *_BOX)
-            .agg(*_box_columns(value, F.col("lower_fence"), F.col("upper_fence"), F.col("c")))
-            .select(key, "n", *_BOX, "whisker_low", "whisker_high", "outliers"))
+    # Equal values are counted before they look up their fences; keys are model names, a short map.
+    boxes = fenced.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.struct(*_BOX))))).scalar()
+    counted = (present.groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
+               .withColumn("boxes", boxes).withColumn("box", F.try_element_at("boxes", F.col(key))))
+    return (counted.groupBy(key)
+            .agg(F.first("box").alias("box"), *_box_columns(value, F.col("box.lower_fence"), F.col("box.upper_fence"), F.col("c")))
+            .select(key, "n", "box.*", "whisker_low", "whisker_high", "outliers"))
 
 
 def box_overall(df: DataFrame, value: str) -> DataFrame:

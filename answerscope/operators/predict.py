@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import truncate
+from ..functions.text import char_count, overlap_with, split_lower, truncate
 from ..schema import MODEL_FALLBACKS, MODEL_REGISTRY
 from ..session import ship_package
 
@@ -158,9 +158,12 @@ def load_failures(spark: SparkSession, models: Sequence[Model]) -> dict[str, str
 
 
 def fan_out(df: DataFrame, models: Sequence[Model], batch_size: int = 32, context_limit: int | None = None,
-            extra: Sequence[str] = (), strict: bool = False) -> DataFrame:
+            extra: Sequence[str] = (), strict: bool = False, annotate: bool = False) -> DataFrame:
     """Every input row once per model, with ``model, answer, score, start, end, error, model_error``.
 
+    With ``annotate`` also ``overlap``, ``context_length`` and ``question_length``;
+    a context is split into words once for all models.
+
     Rows stay in their partitions: the number of partitions, not of models,
     sets the parallelism, and nothing is shuffled. A batch is ``batch_size``
     consecutive rows of a partition. A model that cannot be loaded yields
@@ -200,7 +203,16 @@ def fan_out(df: DataFrame, models: Sequence[Model], batch_size: int = 32, contex
 
     shown = F.col("context") if context_limit is None else truncate(F.col("context"), context_limit)
     answers = run.asNondeterministic()("question", shown, *extra)
-    return df.select("*", answers.alias("_answers")).select(*df.columns, F.inline("_answers"))
+    found = df.select("*", answers.alias("_answers"))
+    if not annotate:
+        return found.select(*df.columns, F.inline("_answers"))
+    fields = ("model", "answer", "score", "start", "end", "error", "model_error")
+    found = found.withColumn("_words", split_lower(F.col("context")))
+    scored = F.transform("_answers", lambda a: F.struct(
+        *[a[f].alias(f) for f in fields], overlap_with(a["answer"], F.col("_words")).alias("overlap")))
+    sizes = [char_count(F.col(c)).alias(f"{c}_length") for c in ("context", "question")]
+    own = [c for c in df.columns if c not in ("context_length", "question_length", "overlap")]
+    return found.select(*own, *sizes, scored.alias("_scored")).select(*own, "context_length", "question_length", F.inline("_scored"))
 
 
 def failed_models(raw: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ buckets, and only the bucket that holds a wanted rank is looked into.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 _BITS = 20  # a bucket number has 20 bits per level
@@ -16,21 +19,24 @@ def order_statistics(df: DataFrame, key: str, value: str, probs) -> DataFrame:
     """Per key and probability the two neighbouring values: ``key, p, low, high, part``.
 
     The range between the overall minimum and maximum is cut into a million
-    buckets, and each of them into a million again. A bucket's number never
-    falls as the value grows, so cumulative counts over buckets are exact
-    ranks whatever the distribution. One task sees a million counts per key,
-    then the distinct values within 1e-12 of the range. All branches read the
-    same shuffled value counts, which Spark computes once.
+    buckets, and each of them into a million again, on a logarithmic scale on
+    both sides of zero, so a far outlier does not crowd the other values into
+    one bucket. A bucket's number never falls as the value grows, so cumulative
+    counts over buckets are exact ranks whatever the distribution. One task
+    sees a million counts per key, then the distinct values of one of 2^40
+    buckets. All branches read the same shuffled value counts, which Spark
+    computes once. The wanted buckets, a few per key, are looked up in a scalar
+    map, so no branch is joined by key; keys are model names, not data.
     """
     counts = (df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
               .groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
               .agg(F.count(F.lit(1)).alias("c")))
-    span = counts.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c")).alias("s")).scalar()
+    # Both functions are monotone, so the order of the values is kept.
+    counts = counts.withColumn("t", F.signum("v") * F.log1p(F.abs("v") * 1e15))
+    span = counts.agg(F.struct(F.min("t").alias("lo"), F.max("t").alias("hi")).alias("s")).scalar()
     # One column holds the scalar, so that its plan is optimised once per branch.
     spanned = counts.withColumn("s", span)
-    place = F.try_divide(F.col("v") - F.col("s.lo"), F.col("s.hi") - F.col("s.lo"))
-    # Never null, so that no null check on a join key is pushed into one of the
-    # branches, which would make it differ from the others and be computed anew.
+    place = F.try_divide(F.col("t") - F.col("s.lo"), F.col("s.hi") - F.col("s.lo"))
     fine = F.coalesce(F.floor(place * float(1 << 2 * _BITS)), F.lit(0))
     spread = spanned.select("k", "v", "c", fine.alias("fine")).select(
         "k", "v", "c", F.shiftright("fine", _BITS).alias("b1"),
@@ -49,17 +55,30 @@ def order_statistics(df: DataFrame, key: str, value: str, probs) -> DataFrame:
                 (F.col("end") - F.col("c")).alias("below"))
     )
     target = ["k", "p", "rank", "part"]
-    for path, level in ((["k", "b1"], "b2"), (["k", "b1", "b2"], "v")):
-        # Only the few buckets that hold a wanted rank pass this join.
-        inside = spread.join(wanted, path).groupBy(*target, *path[1:], "below", level).agg(F.sum("c").alias("c"))
+    for path, level in ((["b1"], "b2"), (["b1", "b2"], "v")):
+        # Only the few buckets that hold a wanted rank pass this lookup.
+        sought = wanted.groupBy("k").agg(F.collect_list(F.struct("p", "rank", "part", "below", *path)).alias("w"))
+        by_key = sought.agg(F.map_from_entries(F.collect_list(F.struct("k", "w")))).scalar()
+
+        found = spread.withColumn("m", by_key).withColumn("w", F.explode(F.filter(F.try_element_at("m", F.col("k")), _same(path))))
+        inside = (found.select("k", "w.p", "w.rank", "w.part", "w.below", *path, level, "c")
+                  .groupBy(*target, *path, "below", level).agg(F.sum("c").alias("c")))
         upto = F.sum("c").over(Window.partitionBy(*target).orderBy(level)) + F.col("below")
         wanted = (inside.withColumn("end", upto)
                   .where((F.col("rank") >= F.col("end") - F.col("c")) & (F.col("rank") < F.col("end")))
-                  .select(*target, *path[1:], level, (F.col("end") - F.col("c")).alias("below")))
+                  .select(*target, *path, level, (F.col("end") - F.col("c")).alias("below")))
     return (wanted.groupBy(F.col("k").alias(key), "p", "part")
             .agg(F.min("v").alias("low"), F.max("v").alias("high")))
 
 
+def _same(columns):
+    """Whether a wanted bucket is the row's own."""
+    def test(wanted):
+        return reduce(and_, [wanted[c] == F.col(c) for c in columns])
+
+    return test
+
+
 def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]) -> DataFrame:
     """One row per key with a column per named probability, linearly interpolated."""
     found = order_statistics(df, key, value, sorted(set(probs.values())))

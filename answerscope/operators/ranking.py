@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.keys import with_row
 from .metrics import best_model
 
-# A prediction is told by its input row and its model; ties follow this order.
+# Ties follow this order.
 IDENTITY = ("_id", "model")
 _SALTS = 256
 
@@ -47,14 +48,24 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], count: int, sp
 
 def extreme_rows(df: DataFrame, models=None, count: int = 10) -> DataFrame:
     """Per model its best and worst ``count`` rows: ``_id, model, end, rank, score``."""
-    base = df.where(F.col("model").isin(list(models)) if models else F.col("model").isNotNull())
-    base = base.select("_id", "model", "score")
-    best = top_per_group(base, "model", [F.desc_nulls_last("score"), F.col("_id")], count, ["_id"])
-    worst = top_per_group(base, "model", [F.asc_nulls_last("score"), F.col("_id")], count, ["_id"])
+    return _extreme_rows(df, models, count).drop("_row")
+
+
+def _extreme_rows(df: DataFrame, models, count: int) -> DataFrame:
+    base = with_row(df.where(F.col("model").isin(list(models)) if models else F.col("model").isNotNull()))
+    base = base.select("_row", "_id", "model", "score")
+    ties = [F.col("_id"), F.col("_row")]
+    best = top_per_group(base, "model", [F.desc_nulls_last("score"), *ties], count, ["_row"])
+    worst = top_per_group(base, "model", [F.asc_nulls_last("score"), *ties], count, ["_row"])
     return (best.withColumn("end", F.lit("top")).unionByName(worst.withColumn("end", F.lit("bottom")))
-            .select("_id", "model", "end", "rank", "score"))
+            .select("_row", "_id", "model", "end", "rank", "score"))
+
+
+def extreme_inputs(df: DataFrame, models=None, count: int = 10) -> DataFrame:
+    """``_row, _id`` of the inputs that are an extreme of at least one model."""
+    return _extreme_rows(df, models, count).select("_row", "_id").distinct()
 
 
 def extreme_ids(df: DataFrame, models=None, count: int = 10) -> DataFrame:
-    """Input rows that are an extreme of at least one model."""
-    return extreme_rows(df, models, count).select("_id").distinct()
+    """The ids of those inputs, one for each."""
+    return extreme_inputs(df, models, count).select("_id")

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import clean_overlap
 from ..operators import compare, disagreement, distributions, filters, metrics, predict, ranking
 from ..sinks import reports
-from ..sources.columns import annotate, head_rows, normalize_input, with_row_id
-from ..sources.shards import load_shards
+from ..sources.columns import head_rows, normalize_input, with_row_id
+from ..sources.shards import load_and_check
 
 
 @dataclass
@@ -22,6 +22,7 @@ class EvaluationRun:
     metrics: DataFrame
     failures: dict[str, str]
     run_folder: str
+    skipped: DataFrame
 
 
 def run_evaluation(spark: SparkSession, shards: str, output: str, selection="all",
@@ -31,13 +32,15 @@ def run_evaluation(spark: SparkSession, shards: str, output: str, selection="all
     """Load shards, run every model, store the predictions, write the reports.
 
     Models that do not load are found first and left out. The predictions are
-    computed and written once; everything after reads that table.
+    computed and written once; the metrics document reads that table and is
+    written once, and the other reports are made from the document. ``skipped``
+    lists the shards that were left out (see ``skipped_shards``).
     ``csv`` may be ``"csv"`` or ``"csv.gz"`` for an export beside the table.
     """
     models = predict.select_models("all") if models is None else list(models)
     if not models:
         raise ValueError("no models selected")
-    inputs = load_shards(spark, shards, selection)
+    inputs, skipped = load_and_check(spark, shards, selection)
     if max_samples:
         inputs = head_rows(inputs, max_samples)
     inputs = with_row_id(normalize_input(inputs))
@@ -48,17 +51,18 @@ def run_evaluation(spark: SparkSession, shards: str, output: str, selection="all
 
     run_id = run_id or datetime.now().strftime("%Y%m%d_%H%M%S")
     table = f"{output}/predictions"
-    raw = predict.fan_out(inputs, good, batch_size, context_limit, extra, strict=True)
-    reports.write_predictions(annotate(raw), table, run_id)
+    raw = predict.fan_out(inputs, good, batch_size, context_limit, extra, strict=True, annotate=True)
+    reports.write_predictions(raw, table, run_id)
     results = spark.read.parquet(table).where(f"run_id = '{run_id}'")
     run_folder = f"{output}/{run_id}"
     if csv:
         reports.write_results_csv(results, run_folder, gzip=csv == "csv.gz")
-    document = metrics.metrics_document(results)
-    reports.write_metrics_json(document, f"{run_folder}/metrics.json")
-    reports.write_summary(results, f"{run_folder}/metrics_summary.md")
-    reports.write_per_model_csv(results, f"{run_folder}/per_model_metrics.csv")
-    return EvaluationRun(run_id, results, document, failures, run_folder)
+    fresh = metrics.metrics_document(results)
+    reports.write_metrics_json(fresh, f"{run_folder}/metrics.json")
+    document = spark.read.schema(fresh.schema).json(f"{run_folder}/metrics.json")
+    reports.write_summary(document, f"{run_folder}/metrics_summary.md")
+    reports.write_per_model_csv(document, f"{run_folder}/per_model_metrics.csv")
+    return EvaluationRun(run_id, results, document, failures, run_folder, skipped)
 
 
 def home_analysis(df: DataFrame, min_score: float = 0.0, min_overlap: float = 0.0, models=None,

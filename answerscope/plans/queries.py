@@ -13,6 +13,7 @@ from ..session import scratch_path
 from ..sinks import reports
 from ..sources import columns, results, shards
 from ..sources.stand_in import STAND_IN_MODELS, predictions, qa_inputs
+from . import evaluation
 
 # The two models compared side by side; the second one has missing answers.
 A, B = "lexical", "echo"
@@ -127,7 +128,7 @@ def metrics_document(spark, sf_dir):
 
 
 def metrics_summary_lines(spark, sf_dir):
-    return reports.summary_lines(predictions(spark, sf_dir), digits=6).select(F.col("ord").cast("bigint"), "line")
+    return reports.summary_lines(metrics.metrics_document(predictions(spark, sf_dir)), digits=6).select(F.col("ord").cast("bigint"), "line")
 
 
 def wide_summary(spark, sf_dir):
@@ -145,16 +146,15 @@ def model_select(spark, sf_dir):
 
 
 def fanout_predict(spark, sf_dir):
-    raw = predict.fan_out(qa_inputs(spark, sf_dir), list(stand_in_models().values()), extra=("_id",))
-    done = columns.annotate(predict.without_models(raw, []))
-    return done.select("_id", "model", "answer", "score", "overlap", "error", "context_length", "question_length")
+    raw = predict.fan_out(qa_inputs(spark, sf_dir), list(stand_in_models().values()), extra=("_id",), annotate=True)
+    return predict.without_models(raw, []).select("_id", "model", "answer", "score", "overlap", "error", "context_length", "question_length")
 
 
 class _FailsOnLongContext(Predictor):
     def predict(self, questions, contexts):
         if max(len(c) for c in contexts) > 2000:
             raise ValueError("context too long")
-        return [{"answer": q.split(" ")[0], "score": 1.0} for q in questions]
+        return [{"answer": (q or "").split(" ")[0], "score": 1.0} for q in questions]
 
 
 class _CannotLoad(Predictor):
@@ -431,6 +431,140 @@ def disagree_sample(spark, sf_dir):
     return compare.sample_differing(predictions(spark, sf_dir), A, B, with_text=True)
 
 
+# --- missing and repeated ids, unseen classes ------------------------------
+
+def _mixed_ids(spark, sf_dir):
+    """Predictions whose ``_id`` is missing for a third of the inputs and repeated for the others."""
+    return predictions(spark, sf_dir).withColumn("_id", F.when(F.col("_id") % 3 != 0, F.col("_id") % 50))
+
+
+def wide_mixed_ids(spark, sf_dir):
+    return compare.wide_compare(_mixed_ids(spark, sf_dir), A, B, with_text=True)
+
+
+def extreme_mixed_ids(spark, sf_dir):
+    return ranking.extreme_rows(_mixed_ids(spark, sf_dir))
+
+
+def disagreement_edges(spark, sf_dir):
+    """Pairs with one answer, with one model, without a question, and with a nameless model."""
+    kind = F.col("_id") % 5
+    rows = predictions(spark, sf_dir).withColumns({
+        "answer": F.when(kind == 0, "same").otherwise(F.col("answer")),
+        "question": F.when(kind != 2, F.col("question")),
+        "model": F.when(kind == 1, "lead").when((kind == 3) & (F.col("model") == "echo"), None).otherwise(F.col("model"))})
+    return disagreement.disagreement(rows)
+
+
+def skipped_shards(spark, sf_dir):
+    """Rows loaded of each shard, and the rows with too many fields of the shards left out."""
+    folder = scratch_path(spark, "shards")
+    inputs = qa_inputs(spark, sf_dir).select(F.col("question").alias("query"), F.col("context").alias("text"), "_id", "_shard")
+    reports.write_shards(inputs, folder)
+    broken = inputs.where(F.col("_shard").isin("src3.csv", "src5.csv") & (F.col("_id") % 7 == 0))
+    broken = broken.select(F.lit("q").alias("query"), F.lit("t").alias("text"), F.lit("1,surplus").alias("_id"), "_shard")
+    # Without quotes the comma makes a field of its own.
+    (broken.write.mode("append").partitionBy("_shard").options(header="true", quote="\0").csv(folder))
+    good, bad = shards.load_and_check(spark, folder)
+    loaded = good.groupBy("_shard").agg(F.count(F.lit(1)).alias("rows")).withColumn("state", F.lit("loaded"))
+    return loaded.unionByName(bad.select("_shard", F.col("bad_rows").alias("rows"), F.lit("skipped").alias("state")))
+
+
+# --- on a stored run ---------------------------------------------------------
+
+def _stored(spark, sf_dir):
+    table = scratch_path(spark, "predictions")
+    reports.write_predictions(predictions(spark, sf_dir), table, RUN_ID)
+    return results.latest_run(spark.read.parquet(table))
+
+
+def stored_agreement(spark, sf_dir):
+    return metrics.agreement_groups(_stored(spark, sf_dir))
+
+
+def stored_disagreement(spark, sf_dir):
+    return disagreement.disagreement(_stored(spark, sf_dir))
+
+
+def stored_side_by_side(spark, sf_dir):
+    rows = _stored(spark, sf_dir).withColumn("_id", F.col("_id").cast("bigint"))
+    return disagreement.side_by_side(rows, disagreement.sample_pairs(rows))
+
+
+def per_model_csv(spark, sf_dir):
+    path = scratch_path(spark, "per-model")
+    reports.write_per_model_csv(metrics.metrics_document(predictions(spark, sf_dir)), path)
+    kinds = "model string, count bigint, mean_score double, median_score double, avg_overlap double"
+    return _round_doubles(spark.read.schema(kinds).option("header", "true").csv(path))
+
+
+def wide_csv(spark, sf_dir):
+    folder = scratch_path(spark, "wide")
+    reports.write_wide(predictions(spark, sf_dir), A, B, folder)
+    back = spark.read.options(header="true", multiLine="true", quote='"', escape='"').csv(f"{folder}/wide.csv")
+    numbers = ("lexical_score", "overlap_lexical", "echo_score", "overlap_echo", "score_difference", "overlap_difference")
+    return _round_doubles(back.select(F.col("_id").cast("bigint").alias("_id"), "score_winner", "overlap_winner",
+                                      *[F.col(c).cast("double").alias(c) for c in numbers]))
+
+
+def correlation_csv(spark, sf_dir):
+    path = scratch_path(spark, "correlation")
+    reports.write_correlation_csv(predictions(spark, sf_dir), path)
+    kinds = "metric string, score double, overlap double, question_length double, context_length double"
+    return _round_doubles(spark.read.schema(kinds).option("header", "true").csv(path))
+
+
+def run_metrics(spark, sf_dir):
+    """A whole run from CSV shards to its stored metrics document."""
+    run = evaluation.run_evaluation(spark, _csv_shards(spark, sf_dir), scratch_path(spark, "run"),
+                                    models=list(stand_in_models().values()), extra=("_id",), run_id=RUN_ID)
+    return _round_doubles(metrics.document_rows(run.metrics))
+
+
+def _panel(df, name: str, item: str, *values: str):
+    """A panel as rows ``panel, item, metric, value``."""
+    entries = F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])
+    return df.select(F.lit(name).alias("panel"), F.col(item).cast("string").alias("item") if item else F.lit("").alias("item"), F.inline(entries))
+
+
+def _panels(parts):
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _round_doubles(out)
+
+
+def home_panels(spark, sf_dir):
+    p = evaluation.home_analysis(predictions(spark, sf_dir), 0.05)
+    return _panels([
+        _panel(p["headline"], "headline", "", "total_rows", "mean_question_words", "mean_question_chars", "mean_score", "mean_overlap"),
+        _panel(p["model_stats"], "model_stats", "model", "scored", "score_mean"),
+        _panel(p["performance"], "performance", "model", "mean_score"),
+        _panel(p["score_histogram"], "score_histogram", "bin", "count"),
+        _panel(p["best_model"], "best_model", "model", "mean_overlap")])
+
+
+def advanced_panels(spark, sf_dir):
+    p = evaluation.advanced_analysis(predictions(spark, sf_dir), (0.1, 0.75))
+    return _panels([
+        _panel(p["describe"], "describe", "model", "count", "mean", "q50"),
+        _panel(p["trend_overlap"], "trend_overlap", "model", "points", "slope"),
+        _panel(p["overlap_histogram"], "overlap_histogram", "bin", "count"),
+        _panel(p["overlap_by_confidence"], "overlap_by_confidence", "", "overlap_high_score", "overlap_low_score"),
+        _panel(p["correlation"], "correlation", "", "r")])
+
+
+def study_panels(spark, sf_dir):
+    p = evaluation.two_model_study(predictions(spark, sf_dir), A, B)
+    return _panels([
+        _panel(p["summary"], "summary", "", "total", "mean_lexical_score", "wins_lexical", "wins_echo", "ties"),
+        _panel(p["tiers"], "tiers", "tier", "lexical_count", "echo_count"),
+        _panel(p["risk"], "risk", "model", "risky", "explicit"),
+        _panel(p["verdict"], "verdict", "", "lexical_pct", "echo_pct"),
+        _panel(p["top10"], "top10", "_id", "best_score"),
+        _panel(p["sample_means"], "sample_means", "", "sampled", "mean_overlap_lexical")])
+
+
 QUERIES = {f.__name__: f for f in (
     shard_catalog, load_shards, shard_select, shard_stems, sample_cap, normalize_input, normalize_results,
     latest_run, run_timestamp, scan_results, consolidated, metrics_json, metrics_document, metrics_summary_lines,
@@ -442,5 +576,7 @@ QUERIES = {f.__name__: f for f in (
     score_histogram, overlap_histogram, score_box, overlap_box, score_density, trend_qlen_score, trend_overlap_score,
     tier_distribution, risk_shares, win_counts, dataset_profile, sample_means, sample_wins, topk_model_counts,
     wide_compare, best_worst, pair_members, side_by_side, top10_best_model, bottom10_best_model,
-    top10_global, bottom10_global, extreme_ids, extreme_rows, disagreement_sample, disagree_sample)}
+    top10_global, bottom10_global, extreme_ids, extreme_rows, disagreement_sample, disagree_sample,
+    wide_mixed_ids, extreme_mixed_ids, disagreement_edges, skipped_shards, stored_agreement, stored_disagreement,
+    stored_side_by_side, per_model_csv, wide_csv, correlation_csv, run_metrics, home_panels, advanced_panels, study_panels)}
 QUERIES["disagreement"] = disagreement_classes

@@ -14,23 +14,22 @@ def _share(answer: str, context: str) -> str:
 
 _QA = """nb as (select count(*) n from benchmark),
 qa as (
-  select d.doc_id as _id, d.lang as title, d.text as context,
-         regexp_extract(b.text, '^[^.]*', 0) as question, d.source || '.csv' as _shard
-  from documents d, nb join benchmark b on b.item_id = d.doc_id % nb.n)"""
+  select d.doc_id as _id, d.lang as title, d.text as context, b.text as question, d.source || '.csv' as _shard
+  from documents d cross join nb left join benchmark b on b.item_id = d.doc_id % greatest(nb.n, 1))"""
 
 _PREDICTIONS = f"""{_QA},
 sent as (
   select qa.*, list_filter(string_split_regex(context, '[.\\n]+\\s*'), lambda x: x <> '') as ss,
          {_tok('question')} as qw from qa),
 sc as (
-  select *, list_transform(ss, lambda s: len(list_intersect(qw, {_tok('s')}))::double / len(qw)) as sv from sent),
+  select *, list_transform(ss, lambda s: len(list_intersect(qw, {_tok('s')}))::double / nullif(len(qw), 0)) as sv from sent),
 raw as (
   select _id, title, context, question, _shard, 'lead' as model, ss[1] as answer, sv[1] as score from sc
   union all
   select _id, title, context, question, _shard, 'lexical', ss[list_position(sv, list_max(sv))], list_max(sv) from sc
   union all
   select _id, title, context, question, _shard, 'echo',
-         case when _id % 13 = 0 then null else array_to_string(string_split(question, ' ')[1:6], ' ') end,
+         case when _id % 13 = 0 then null else question end,
          case when _id % 13 = 0 then null else (_id * 7919 % 1000)::double / 1000.0::double end from sc),
 predictions as (
   select *, {_share('answer', 'context')} as overlap,
@@ -85,6 +84,13 @@ levels as (
               when n_answers > 1 then 'partial_disagreement' else 'no_disagreement' end as level
   from classes)"""
 
+_EDGES = _PAIRS.replace("keyed as (", """edged as (
+  select * replace (case when _id % 5 = 0 then 'same' else answer end as answer,
+                    case when _id % 5 <> 2 then question end as question,
+                    case when _id % 5 = 1 then 'lead' when _id % 5 = 3 and model = 'echo' then null else model end as model)
+  from predictions),
+keyed as (""").replace("as pair_id from predictions", "as pair_id from edged")
+
 _BEST = """best as (select model from (select model, avg(overlap) as m from predictions group by model)
          order by m desc, model limit 1)"""
 
@@ -453,4 +459,70 @@ union all select _id, model, 'bottom', w::integer, score from ranked where w <=
 select p.position, p.pair_id, p.level, min(k.question) as question, min(k.context) as context
 from pairs p join keyed k on k.pair_id = p.pair_id group by 1, 2, 3""",
     "disagree_sample": f"with {_SAMPLE} select * from picked",
+    "wide_mixed_ids": f"with {_WIDE} select * replace (case when _id % 3 = 0 then null else _id % 50 end as _id) from wide",
+    "extreme_mixed_ids": f"""with {_PREDICTIONS},
+mixed as (select model, score, _id::varchar as row_id, case when _id % 3 = 0 then null else _id % 50 end as _id from predictions),
+ranked as (
+  select *, row_number() over (partition by model order by score desc nulls last, _id nulls first, row_id) as t,
+            row_number() over (partition by model order by score asc nulls last, _id nulls first, row_id) as w from mixed)
+select _id, model, 'top' as "end", t::integer as rank, score from ranked where t <= 10
+union all select _id, model, 'bottom', w::integer, score from ranked where w <= 10""",
+    "disagreement_edges": f"""with {_EDGES}
+select case when complete then pair_id else '00' || pair_id end as pair_id, l.n_rows, l.n_models, l.n_answers, level
+from levels l join classes using (pair_id)""",
+    "skipped_shards": """with r as (select source || '.csv' as _shard, count(*) as n,
+  count(*) filter (source in ('src3', 'src5') and doc_id % 7 = 0) as bad from documents group by source)
+select _shard, case when bad > 0 then bad else n end as rows, case when bad > 0 then 'skipped' else 'loaded' end as state from r""",
+    "run_metrics": _DOCUMENT,
+}
+ORACLES |= {
+    "stored_agreement": ORACLES["agreement_groups"],
+    "stored_disagreement": ORACLES["disagreement"],
+    "stored_side_by_side": ORACLES["side_by_side"],
+    "per_model_csv": ORACLES["per_model_metrics"],
+    "wide_csv": f"""with {_WIDE}
+select _id, score_winner, overlap_winner, round(lexical_score, 6) as lexical_score, round(overlap_lexical, 6) as overlap_lexical,
+       round(echo_score, 6) as echo_score, round(overlap_echo, 6) as overlap_echo,
+       round(score_difference, 6) as score_difference, round(overlap_difference, 6) as overlap_difference from wide""",
+    "correlation_csv": f"""with {_CORR_CELLS}
+select 'score' as metric, 1.0::double as score, round(so, 6) as overlap, round(sq, 6) as question_length, round(sc, 6) as context_length from one
+union all select 'overlap', round(so, 6), 1.0::double, round(oq, 6), round(oc, 6) from one
+union all select 'question_length', round(sq, 6), round(oq, 6), 1.0::double, round(qc, 6) from one
+union all select 'context_length', round(sc, 6), round(oc, 6), round(qc, 6), 1.0::double from one""",
+}
+
+
+def _rows_of(panel: str, sql: str, item: str, *values: str) -> str:
+    """The rows ``panel, item, metric, value`` of another query's result."""
+    return " union all ".join(
+        f"select '{panel}' as panel, {item} as item, '{v}' as metric, round(\"{v}\"::double, 6) as value from ({sql})" for v in values)
+
+
+def _keeping(sql: str, condition: str) -> str:
+    """The query on the predictions that meet a condition."""
+    return sql.replace(_PREDICTIONS, f"{_PREDICTIONS.replace('predictions as (', 'every_prediction as (')},\npredictions as (select * from every_prediction where {condition})")
+
+
+_HOME = "coalesce(score, 0) >= 0.05 and coalesce(overlap, 0) >= 0"
+_RANGE = "score between 0.1 and 0.75 and question_length is not null"
+ORACLES |= {
+    "home_panels": " union all ".join([
+        _rows_of("headline", ORACLES["headline_metrics"], "''", "total_rows", "mean_question_words", "mean_question_chars", "mean_score", "mean_overlap"),
+        _rows_of("model_stats", ORACLES["model_stats"], "model", "scored", "score_mean"),
+        _rows_of("performance", ORACLES["performance_tier"], "model", "mean_score"),
+        _rows_of("score_histogram", _keeping(ORACLES["score_histogram"], _HOME), "bin::varchar", "count"),
+        _rows_of("best_model", ORACLES["best_model"], "model", "mean_overlap")]),
+    "advanced_panels": " union all ".join([
+        _rows_of("describe", _keeping(ORACLES["score_describe"], _RANGE), "model", "count", "mean", "q50"),
+        _rows_of("trend_overlap", _keeping(ORACLES["trend_overlap_score"], _RANGE), "model", "points", "slope"),
+        _rows_of("overlap_histogram", _keeping(ORACLES["overlap_histogram"], _RANGE), "bin::varchar", "count"),
+        _rows_of("overlap_by_confidence", _keeping(ORACLES["overlap_by_confidence"], _RANGE), "''", "overlap_high_score", "overlap_low_score"),
+        _rows_of("correlation", _keeping(ORACLES["corr_score_overlap"], _RANGE), "''", "r")]),
+    "study_panels": " union all ".join([
+        _rows_of("summary", ORACLES["wide_summary"], "''", "total", "mean_lexical_score", "wins_lexical", "wins_echo", "ties"),
+        _rows_of("tiers", ORACLES["tier_distribution"], "tier", "lexical_count", "echo_count"),
+        _rows_of("risk", ORACLES["risk_shares"], "model", "risky", "explicit"),
+        _rows_of("verdict", ORACLES["overlap_verdict"], "''", "lexical_pct", "echo_pct"),
+        _rows_of("top10", ORACLES["top10_global"], "_id::varchar", "best_score"),
+        _rows_of("sample_means", ORACLES["sample_means"], "''", "sampled", "mean_overlap_lexical")]),
 }

@@ -4,13 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# One row per input row and model, in the order the consolidated table is written.
-CONSOLIDATED_COLUMNS = (
-    "_id", "title", "context", "question", "_shard",
-    "context_length", "question_length",
-    "model", "answer", "score", "overlap", "error",
-)
-
+# One row per input row and model, in the order the consolidated table is written.
 CONSOLIDATED_SCHEMA = T.StructType([
     T.StructField("_id", T.StringType()),
     T.StructField("title", T.StringType()),
@@ -26,6 +20,8 @@ CONSOLIDATED_SCHEMA = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 
+CONSOLIDATED_COLUMNS = tuple(f.name for f in CONSOLIDATED_SCHEMA)
+
 # Model key -> public checkpoint name.
 MODEL_REGISTRY = {
     "distilbert": "distilbert-base-cased-distilled-squad",
@@ -49,6 +45,7 @@ RESULT_ALIASES = {
     "model": ("model", "model_name"),
 }
 
+# Without these a result is refused.
 REQUIRED_RESULT_COLUMNS = ("question", "answer", "context", "score")
 
 # CSV tokens the pandas reader takes as missing.

@@ -8,27 +8,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.keys import PAIR_KEY, pair_of
+from ..functions.keys import PAIR_KEY, ROW_KEY, pair_of
 from ..operators.compare import wide_compare, wide_summary
-from ..operators.distributions import correlation_matrix
-from ..operators.metrics import overall_metrics, per_model_metrics
+from ..operators.distributions import CORRELATED, correlation_matrix
 from ..sources.results import RESULTS_STEM, ordered_projection
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"',
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def write_predictions(df: DataFrame, table: str, run_id: str) -> None:
-    """Store a run as the Parquet partition ``run_id=<run_id>`` of ``table``.
+def write_predictions(df: DataFrame, table: str, run_id: str, batch: int = 0) -> None:
+    """Store a run, or one batch of a streamed run, as a partition of ``table``.
 
-    Writing the same run again replaces it, so a repeated job leaves one copy.
+    Writing the same batch again replaces it, so a repeated job leaves one copy.
     The key of the (question, context) pair is stored beside the columns, so
-    that agreement and disagreement read 32 bytes per row and no text.
+    that agreement and disagreement read 32 bytes per row and no text, and so
+    is the row id that tells input rows apart.
     """
     keyed = df.withColumn(PAIR_KEY, pair_of(df))
-    stored = ordered_projection(keyed, PAIR_KEY).withColumn("run_id", F.lit(run_id))
+    rows = [ROW_KEY] if ROW_KEY in df.columns else []
+    stored = ordered_projection(keyed, PAIR_KEY, *rows).withColumns({"run_id": F.lit(run_id), "batch": F.lit(batch)})
     (stored.write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(table))
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch").parquet(table))
 
 
 def write_results_csv(df: DataFrame, run_folder: str, gzip: bool = False, rows_per_file: int = 1_000_000) -> str:
@@ -64,8 +65,13 @@ def _shown(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("None"))
 
 
-def summary_lines(df: DataFrame, digits: int | None = None) -> DataFrame:
-    """Lines ``ord, line`` of the Markdown summary: overall, then each model.
+def document_models(document: DataFrame) -> DataFrame:
+    """The per-model part of a metrics document as rows."""
+    return document.select(F.explode("per_model").alias("model", "s")).select("model", "s.*")
+
+
+def summary_lines(document: DataFrame, digits: int | None = None) -> DataFrame:
+    """Lines ``ord, line`` of the Markdown summary of a metrics document: overall, then each model.
 
     ``digits`` rounds the means; without it they are written in full.
     """
@@ -76,12 +82,12 @@ def summary_lines(df: DataFrame, digits: int | None = None) -> DataFrame:
         return source.select(major.alias("_major"), F.posexplode(F.array(*lines)).alias("_minor", "line"))
 
     title = F.lit("# Metrics Summary")
-    top = block(overall_metrics(df), F.lit(""), [
+    top = block(document.select("overall.*"), F.lit(""), [
         title, F.lit(""), F.lit("## Overall"),
         F.concat(F.lit("- total_predictions: "), _shown(F.col("total_predictions"))),
         F.concat(F.lit("- avg_overlap: "), number("avg_overlap")),
         F.lit(""), F.lit("## Per Model")])
-    models = block(per_model_metrics(df), F.concat(F.lit("m"), F.col("model")), [
+    models = block(document_models(document), F.concat(F.lit("m"), F.col("model")), [
         F.concat(F.lit("### "), F.col("model")),
         F.concat(F.lit("- count: "), _shown(F.col("count"))),
         *[F.concat(F.lit(f"- {c}: "), number(c)) for c in ("mean_score", "median_score", "avg_overlap")]])
@@ -95,12 +101,13 @@ def _by_position():
     return Window.orderBy("_major", "_minor")
 
 
-def write_summary(df: DataFrame, path: str) -> None:
-    summary_lines(df).orderBy("ord").select("line").coalesce(1).write.mode("overwrite").text(path)
+def write_summary(document: DataFrame, path: str) -> None:
+    summary_lines(document).orderBy("ord").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_per_model_csv(df: DataFrame, path: str) -> None:
-    per_model_metrics(df).orderBy("model").coalesce(1).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+def write_per_model_csv(document: DataFrame, path: str) -> None:
+    (document_models(document).select("model", "count", "mean_score", "median_score", "avg_overlap")
+     .orderBy("model").coalesce(1).write.mode("overwrite").options(**CSV_OPTIONS).csv(path))
 
 
 def write_wide(df: DataFrame, a: str, b: str, folder: str) -> None:
@@ -115,8 +122,7 @@ def write_wide(df: DataFrame, a: str, b: str, folder: str) -> None:
 def write_correlation_csv(df: DataFrame, path: str) -> None:
     """The correlation matrix as a square table."""
     cells = correlation_matrix(df)
-    names = [r.var1 for r in cells.select("var1").distinct().collect()]
-    order = {n: i for i, n in enumerate(c for c in df.columns if c in names)}
+    order = {n: i for i, n in enumerate(c for c in CORRELATED if c in df.columns)}
     rank = F.create_map(*[F.lit(x) for n, i in order.items() for x in (n, i)])
     square = cells.groupBy("var1").agg(*[F.max(F.when(F.col("var2") == n, F.col("r"))).alias(n) for n in order])
     (square.orderBy(rank[F.col("var1")]).withColumnRenamed("var1", "metric")

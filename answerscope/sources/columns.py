@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.keys import pair_id, pair_key
+from ..functions.keys import ROW_KEY, pair_id, pair_key
 from ..functions.statistics import to_number
 from ..functions.text import char_count, word_overlap
 from ..schema import CSV_NULL_TOKENS, REQUIRED_RESULT_COLUMNS, RESULT_ALIASES
@@ -83,13 +83,13 @@ def annotate(df: DataFrame) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, prefix: str = "") -> DataFrame:
-    """Number the rows as ``_id`` if they have none.
+    """Number the rows as ``row_id``; ``_id`` stays as it is, and is that number where it is missing.
 
     The numbers follow the partitions, so store them before they are used twice.
     """
-    if "_id" in df.columns:
-        return df
-    return df.withColumn("_id", F.concat(F.lit(prefix), F.monotonically_increasing_id().cast("string")))
+    numbered = df.withColumn(ROW_KEY, F.concat(F.lit(prefix), F.monotonically_increasing_id().cast("string")))
+    known = F.col("_id").cast("string") if "_id" in df.columns else F.lit(None).cast("string")
+    return numbered.withColumn("_id", F.coalesce(known, F.col(ROW_KEY)))
 
 
 def null_tokens_to_null(df: DataFrame, columns=None) -> DataFrame:
@@ -101,5 +101,14 @@ def null_tokens_to_null(df: DataFrame, columns=None) -> DataFrame:
 
 
 def head_rows(df: DataFrame, count: int, order=("_shard", "_id")) -> DataFrame:
-    """The first ``count`` input rows in a stated order (CSV has none of its own)."""
-    return df.orderBy(*[F.col(c) for c in order if c in df.columns]).limit(count)
+    """The first ``count`` input rows in a stated order (CSV has none of its own).
+
+    The order is found on the keys alone. Rows with equal keys are told apart by
+    a hash of all columns, and equal rows are counted together.
+    """
+    keys = [c for c in order if c in df.columns]
+    marked = df.withColumn("_mark", F.xxhash64(*df.columns))
+    best = marked.select(*keys, "_mark").orderBy(*keys, "_mark").limit(count)
+    chosen = best.groupBy("_mark").agg(F.count(F.lit(1)).alias("_wanted"))
+    nth = F.row_number().over(Window.partitionBy("_mark").orderBy("_mark"))
+    return (marked.join(chosen, "_mark").withColumn("_nth", nth).where("_nth <= _wanted").drop("_mark", "_wanted", "_nth"))

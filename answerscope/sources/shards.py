@@ -13,6 +13,7 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
 from .columns import null_tokens_to_null
 
 _PARTITION = r"/_shard=([^/]+)/"
@@ -44,7 +45,8 @@ def _decoded(path: Column) -> Column:
 def shard_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files of all shards: ``_shard, path, length``; file contents are not read.
 
-    Files of no bytes are not listed: they hold not even a header.
+    A file of no bytes gives no row in a scan, so it is found in the listing,
+    which the driver holds for any scan.
     """
     out = spark.createDataFrame([], "_shard string, path string, length long")
     for pattern in (f"{folder}/*.csv", f"{folder}/_shard=*/*.csv"):
@@ -54,9 +56,12 @@ def shard_files(spark: SparkSession, folder: str) -> DataFrame:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
+        found = files.select("path", "length")
+        listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string").select(_decoded(F.col("path")).alias("path"))
+        empty = listed.join(found, "path", "left_anti").withColumn("length", F.lit(0).cast("long"))
         # A partition folder may itself end in .csv; its files match the second pattern only.
         in_folder = F.regexp_extract("path", _PARTITION, 1) != ""
-        files = files.where(in_folder if "_shard=" in pattern else ~in_folder)
+        files = found.unionByName(empty).where(in_folder if "_shard=" in pattern else ~in_folder)
         out = out.unionByName(files.select(shard_name(F.col("path")).alias("_shard"), "path", "length"))
     return out
 
@@ -146,42 +151,45 @@ def load_shards(spark: SparkSession, folder: str, selection="all", skip_bad: boo
 
     Files are read once per distinct header, so differing column orders are
     united by name and absent columns become null. Quoted line breaks are
-    kept. With ``skip_bad`` a file with a row of too many fields is left out
-    whole; ``skipped_files`` lists such files. Runs one job for the headers and,
-    to find bad files, one that parses the selected shards.
+    kept. With ``skip_bad`` a shard with a row of too many fields is left out
+    whole, all its files; ``skipped_shards`` lists such shards. Runs one job for
+    the headers and one that parses every file once into the shared folder.
     """
-    out = None
-    for names, paths in _selected_groups(spark, folder, selection):
-        part = _read_group(spark, names, paths)
-        if skip_bad:
-            bad = {r.path for r in _bad_files(part).select("path").collect()}
-            if bad:
-                paths = [p for p in paths if p not in bad]
-                if not paths:
-                    continue
-                part = _read_group(spark, names, paths)
-        part = part.drop(_EXTRA, "_path")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out if out is not None else spark.createDataFrame([], "_shard string")
+    return load_and_check(spark, folder, selection)[0] if skip_bad else _parsed(spark, folder, selection).drop(_EXTRA)
+
 
+def load_and_check(spark: SparkSession, folder: str, selection="all") -> tuple[DataFrame, DataFrame]:
+    """The good shards as by ``load_shards``, and the shards left out: ``_shard, bad_rows``.
 
-def _bad_files(part: DataFrame) -> DataFrame:
-    return (part.where(F.col(_EXTRA).isNotNull())
-            .groupBy("_shard", F.col("_path").alias("path")).agg(F.count(F.lit(1)).alias("bad_rows")))
+    A shard of no bytes has nothing to load; it is listed with 0 bad rows.
+    """
+    parsed = _parsed(spark, folder, selection)
+    path = scratch_path(spark, "parsed-shards")
+    parsed.write.parquet(path)
+    stored = spark.read.schema(parsed.schema).parquet(path)
+    # Reads the marker and the shard alone.
+    bad = stored.where(F.col(_EXTRA).isNotNull()).groupBy("_shard").agg(F.count(F.lit(1)).alias("bad_rows"))
+    empty = (shard_files(spark, folder).where(selection_filter(selection)).groupBy("_shard").agg(F.sum("length").alias("n"))
+             .where("n = 0").select("_shard", F.lit(0).cast("long").alias("bad_rows")))
+    return stored.join(bad, "_shard", "left_anti").select(*[c for c in parsed.columns if c != _EXTRA]), bad.unionByName(empty)
+
+
+def skipped_shards(spark: SparkSession, folder: str, selection="all") -> DataFrame:
+    """Shards ``load_shards`` leaves out: ``_shard, bad_rows``."""
+    return load_and_check(spark, folder, selection)[1]
 
 
-def skipped_files(spark: SparkSession, folder: str, selection="all") -> DataFrame:
-    """Files ``load_shards`` leaves out: ``_shard, path, bad_rows``."""
+def _parsed(spark: SparkSession, folder: str, selection) -> DataFrame:
     out = None
     for names, paths in _selected_groups(spark, folder, selection):
-        part = _bad_files(_read_group(spark, names, paths))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "_shard string, path string, bad_rows long")
+        part = _read_group(spark, names, paths)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], f"_shard string, {_EXTRA} string")
 
 
 def _selected_groups(spark, folder, selection):
     files = shard_files(spark, folder).where(selection_filter(selection))
-    paths = [r.path for r in files.select("path").orderBy("path").collect()]
+    paths = [r.path for r in files.where("length > 0").select("path").orderBy("path").collect()]
     if not paths:
         return []
     return [(_field_names(r.header), r.paths) for r in _headers(spark, paths)]
@@ -191,6 +199,5 @@ def _read_group(spark: SparkSession, names: list[str], paths: list[str]) -> Data
     columns = [n for n in names if n != "_shard"]
     schema = ", ".join(f"`{n}` string" for n in [*names, _EXTRA])
     raw = spark.read.schema(schema).options(**CSV_READ_OPTIONS).csv(paths)
-    tagged = raw.select(*[F.col(f"`{c}`") for c in columns], _EXTRA, file_shard().alias("_shard"),
-                        _decoded(F.col("_metadata.file_path")).alias("_path"))
+    tagged = raw.select(*[F.col(f"`{c}`") for c in columns], _EXTRA, file_shard().alias("_shard"))
     return null_tokens_to_null(tagged, columns)

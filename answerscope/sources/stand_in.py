@@ -1,21 +1,23 @@
 """Question-answering inputs and stand-in predictions from the document tables.
 
-Every document is a context; the question is the first sentence of the
-benchmark item its id maps to. Three rule-based predictors take the place of
-neural ones, so that all analytics run on whole tables:
+Every document is a context; the question is the benchmark item its id maps
+to, null if there is none. Three rule-based predictors take the place of
+neural ones, so that all analytics run on whole tables and whole texts:
 
 * ``lead``    the first sentence of the context;
 * ``lexical`` the sentence sharing most question words, the first on ties;
-* ``echo``    the first six question words with a pseudo-score, missing where
-  ``_id`` is a multiple of 13.
+* ``echo``    the question itself with a pseudo-score, missing where ``_id``
+  is a multiple of 13.
 
-A score is the share of the question's distinct words found in the answer.
+A score is the share of the question's distinct words found in the answer,
+null for a question without words.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.keys import ROW_KEY
 from ..functions.text import BLANK_RUN, char_count, distinct_words, overlap_with, split_lower
 
 STAND_IN_MODELS = ("lead", "lexical", "echo")
@@ -23,29 +25,19 @@ SENTENCE_END = r"[.\n]+\s*"
 
 
 def qa_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Input rows ``_id, title, context, question, _shard``.
+    """Input rows ``_id, row_id, title, context, question, _shard``.
 
-    The join key spreads evenly over the benchmark items; the side to
-    broadcast, if any, is left to the planner's size check. Counts the items
-    first, which reads no column.
+    Documents are dealt by id, so the rows of one input stay together through
+    all that is computed per input. No document is lost if item ids have gaps.
+    The side to broadcast, if any, is left to the planner's size check.
     """
-    documents = spread_small(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition("doc_id")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    items = F.lit(max(benchmark.count(), 1))
-    questions = benchmark.select("item_id", F.regexp_extract("text", r"^[^.]*", 0).alias("question"))
-    return (documents.withColumn("item_id", F.col("doc_id") % items).join(questions, "item_id")
-            .select(F.col("doc_id").alias("_id"), F.col("lang").alias("title"), F.col("text").alias("context"),
-                    "question", F.concat("source", F.lit(".csv")).alias("_shard")))
-
-
-def spread_small(df: DataFrame, key: str, limit: int = 1 << 30) -> DataFrame:
-    """Spread a table of less than ``limit`` bytes on disk over all cores.
-
-    A small file may be a single row group, which is a single task however
-    many cores wait. Tables beyond the limit keep the partitions of their scan.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < limit else df
+    items = benchmark.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    questions = benchmark.select("item_id", F.col("text").alias("question"))
+    return (documents.withColumn("item_id", F.pmod("doc_id", items)).join(questions, "item_id", "left")
+            .select(F.col("doc_id").alias("_id"), F.col("doc_id").cast("string").alias(ROW_KEY), F.col("lang").alias("title"),
+                    F.col("text").alias("context"), "question", F.concat("source", F.lit(".csv")).alias("_shard")))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +49,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sentences = F.array_remove(F.split("context", SENTENCE_END), "")
     asked = F.size("_asked")
     lowered = F.array_remove(F.split(F.lower("context"), SENTENCE_END), "")
-    matched = F.transform(lowered, lambda s: F.size(F.array_intersect("_asked", F.split(s, BLANK_RUN))) / asked)
+    matched = F.transform(lowered, lambda s: F.try_divide(F.size(F.array_intersect("_asked", F.split(s, BLANK_RUN))), asked))
     echoed = F.col("_id") % 13 != 0
     prepared = (
         qa_inputs(spark, sf_dir)
@@ -68,7 +60,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
             "_lead": F.try_element_at("_sentences", F.lit(1)),
             "_lead_score": F.try_element_at("_matched", F.lit(1)),
             "_lexical_score": F.array_max("_matched"),
-            "_echo": F.when(echoed, F.array_join(F.slice(F.split("question", " "), 1, 6), " ")),
+            "_echo": F.when(echoed, F.col("question")),
             "_echo_score": F.when(echoed, F.col("_id") * 7919 % 1000 / 1000.0),
         })
         .withColumns({"_lexical": F.try_element_at(
@@ -87,6 +79,6 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out
 
     return long.select(
-        "_id", "title", "context", "question", "_shard", "context_length", "question_length", "model",
+        "_id", ROW_KEY, "title", "context", "question", "_shard", "context_length", "question_length", "model",
         by_model("").alias("answer"), by_model("_score").alias("score"),
         by_model("_overlap").alias("overlap"), F.lit("").alias("error"))

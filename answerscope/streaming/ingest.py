@@ -9,36 +9,48 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.predict import Model, fan_out, load_failures
 from ..sinks.reports import write_predictions
-from ..sources.columns import annotate, normalize_input, null_tokens_to_null, with_row_id
+from ..sources.columns import normalize_input, null_tokens_to_null, with_row_id
 from ..sources.shards import CSV_READ_OPTIONS, file_shard
 
+_RECORD = "_odd_record"
+SURPLUS = "_surplus_field"
+
 
 def shard_stream(spark: SparkSession, folder: str, columns: Sequence[str], files_per_batch: int = 1000) -> DataFrame:
-    """New ``*.csv`` shards of one header as a stream, tagged with ``_shard``."""
+    """New ``*.csv`` shards of one header as a stream, tagged with ``_shard``.
+
+    The header of every file is compared with ``columns``: one in another order
+    or with other names fails the query instead of being read by position. Rows
+    with more fields than the header are marked in ``_surplus_field``.
+    """
     schema = ", ".join(f"`{c}` string" for c in columns)
-    raw = (spark.readStream.schema(schema).options(**CSV_READ_OPTIONS)
+    options = {**CSV_READ_OPTIONS, "enforceSchema": "false", "columnNameOfCorruptRecord": _RECORD}
+    raw = (spark.readStream.schema(f"{schema}, `{_RECORD}` string").options(**options)
            .option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.csv").csv(folder))
-    return null_tokens_to_null(raw.withColumn("_shard", file_shard()), columns)
+    # A record is odd if it has too few fields, which is allowed, or too many.
+    wider = F.from_csv(F.col(_RECORD), f"{schema}, `{SURPLUS}` string", {"quote": '"', "escape": '"'})
+    marked = raw.withColumn(SURPLUS, wider[SURPLUS]).withColumn("_shard", file_shard()).drop(_RECORD)
+    return null_tokens_to_null(marked, columns)
 
 
 def evaluate_new_shards(stream: DataFrame, models: Sequence[Model], table: str, checkpoint: str, run_id: str,
                         batch_size: int = 32, extra: Sequence[str] = ()) -> StreamingQuery:
     """Predict and store every shard not seen before, then stop.
 
-    Batch ``n`` is the run ``<run_id>`` plus ``n`` seconds, so a batch that is
-    repeated after a failure replaces its own partition and nothing is
-    stored twice. Models that do not load at the start are left out.
+    All batches of a call belong to the run ``run_id``, each as a partition of
+    its own, so a batch that is repeated after a failure replaces itself and
+    the latest run is whole. Shards with a row of too many fields are left out,
+    as in the batch load, and so are models that do not load at the start.
     """
     failed = load_failures(stream.sparkSession, models)
     good = [m for m in models if m.key not in failed]
-    started = F.to_timestamp(F.lit(run_id), "yyyyMMdd_HHmmss")
 
     def store(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        later = F.date_format(started + F.make_interval(secs=F.lit(number)), "yyyyMMdd_HHmmss")
-        name = spark.range(1).select(later).first()[0]
-        raw = fan_out(with_row_id(normalize_input(batch), f"{number}-"), good, batch_size, extra=extra, strict=True)
-        write_predictions(annotate(raw), table, name)
+        if SURPLUS in batch.columns:
+            bad = batch.where(F.col(SURPLUS).isNotNull()).select("_shard").distinct()
+            batch = batch.join(bad, "_shard", "left_anti").drop(SURPLUS)
+        rows = with_row_id(normalize_input(batch), f"{number}-")
+        write_predictions(fan_out(rows, good, batch_size, extra=extra, strict=True, annotate=True), table, run_id, number)
 
     return (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from answerscope.operators import predict
@@ -102,7 +103,7 @@ def test_run_evaluation(spark, tmp_path):
     assert run.failures == {"broken": "gone"}
     assert run.results.count() == 36
     assert set(run.results.columns) == {"_id", "context", "question", "_shard", "context_length", "question_length",
-                                        "model", "answer", "score", "overlap", "error", "pair_key", "run_id"}
+                                        "model", "answer", "score", "overlap", "error", "pair_key", "row_id", "run_id", "batch"}
     document = run.metrics.first().asDict(recursive=True)
     assert document["overall"]["total_predictions"] == 36 and set(document["per_model"]) == set(stand_in_models())
     path = results.find_latest_results(spark, str(tmp_path / "out"))
@@ -128,7 +129,25 @@ def test_inputs_without_ids_are_numbered(spark, tmp_path):
     folder.mkdir()
     (folder / "a.csv").write_text("question,context\nq,c\nq,c\nq2,c\n")
     run = run_evaluation(spark, str(folder), str(tmp_path / "out"), models=[stand_in_models()["lead"]])
-    assert run.results.select("_id").distinct().count() == 3
+    assert run.results.select("_id").distinct().count() == 3 and run.skipped.collect() == []
+
+
+def test_inputs_are_told_apart_without_ids(spark, tmp_path):
+    """Shards with ids, with the same ids again, and without: every input keeps its row and its texts."""
+    folder = tmp_path / "shards"
+    folder.mkdir()
+    (folder / "a.csv").write_text("query,text\n" + "".join(f"qa{i},ca{i}. x\n" for i in range(7)))
+    for name in "bc":
+        (folder / f"{name}.csv").write_text("_id,query,text\n" + "".join(f"{i},q{name}{i},c{name}{i}. x\n" for i in range(3)))
+    models = [stand_in_models()["lead"], stand_in_models()["lexical"]]
+    run = run_evaluation(spark, str(folder), str(tmp_path / "out"), models=models)
+    wide = two_model_study(run.results, "lead", "lexical")["wide"]
+    assert wide.count() == 13
+    from answerscope.operators.compare import wide_compare
+    rows = wide_compare(run.results, "lead", "lexical", with_text=True).collect()
+    assert len(rows) == 13 and all(r.question[1:] == r.context[1:].split(".")[0] for r in rows)
+    # A result without row ids falls back on the id and the pair.
+    assert wide_compare(run.results.drop("row_id"), "lead", "lexical").count() == 13
 
 
 def test_new_shards_are_evaluated_once(spark, tmp_path):
@@ -147,7 +166,35 @@ def test_new_shards_are_evaluated_once(spark, tmp_path):
     write_shard(folder, "b.csv", range(3, 5))
     run()
     run()
-    stored = spark.read.parquet(table)
-    assert stored.count() == 10
-    assert {(r.run_id, r["_shard"]) for r in stored.select("run_id", "_shard").distinct().collect()} == {
-        ("20260101_000000", "a.csv"), ("20260101_000001", "b.csv")}
+    stored = spark.read.schema(spark.read.parquet(table).schema).parquet(table)
+    assert stored.count() == 10 and results.latest_run(stored).count() == 10
+    assert {(r.run_id, r.batch, r["_shard"]) for r in stored.select("run_id", "batch", "_shard").distinct().collect()} == {
+        ("20260101_000000", 0, "a.csv"), ("20260101_000000", 1, "b.csv")}
+    write_shard(folder, "c.csv", [7])
+    (folder / "d.csv").write_text("query,text,_id\nq,c,8\nq,c,9,more\n")
+    (folder / "e.csv").write_text("query,text,_id\nq,c\n")
+    run()
+    latest = results.latest_run(spark.read.parquet(table))
+    assert latest.count() == 14 and {r["_shard"] for r in latest.where("batch > 1").collect()} == {"c.csv", "e.csv"}
+
+
+def test_stream_with_many_batches_is_one_run(spark, tmp_path):
+    folder = tmp_path / "arriving"
+    folder.mkdir()
+    for i in range(3):
+        write_shard(folder, f"{i}.csv", [i + 1])
+    stream = shard_stream(spark, str(folder), ["query", "text", "_id"], files_per_batch=1)
+    q = evaluate_new_shards(stream, [stand_in_models()["lead"]], str(tmp_path / "t"), str(tmp_path / "c"), "20260101_000000")
+    assert q.awaitTermination(120)
+    latest = results.latest_run(spark.read.parquet(str(tmp_path / "t")))
+    assert latest.count() == 3 and latest.select("batch").distinct().count() == 3
+
+
+def test_stream_refuses_another_header(spark, tmp_path):
+    folder = tmp_path / "arriving"
+    folder.mkdir()
+    (folder / "a.csv").write_text("text,query,_id\nCTX,q,1\n")
+    stream = shard_stream(spark, str(folder), ["_id", "query", "text"])
+    q = evaluate_new_shards(stream, [stand_in_models()["lead"]], str(tmp_path / "t"), str(tmp_path / "c"), "20260101_000000")
+    with pytest.raises(StreamingQueryException):
+        q.awaitTermination(120)

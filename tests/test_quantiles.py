@@ -66,3 +66,31 @@ def test_value_counts_are_computed_once(spark):
     q.collect()
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
+
+
+def test_no_join_by_key(spark):
+    """Without adaptive execution nothing may rest on a join of all values by model."""
+    df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("model"), F.rand(1).alias("score"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for q in (exact_quantiles(df, "model", "score", QUARTILES), box_summary(df)):
+            assert "SortMergeJoin" not in q._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_far_outlier(spark):
+    values = [i / 1000 for i in range(2000)] + [1e12, -1e15]
+    df = spark.createDataFrame([("m", v) for v in values], "model string, score double")
+    r = exact_quantiles(df, "model", "score", {"a": 0.1, "b": 0.5, "c": 0.9}).first()
+    assert [r.a, r.b, r.c] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.9])), rel=1e-12)
+
+
+def test_disagreement_has_no_object_aggregate(spark, table):
+    from answerscope.operators.disagreement import disagreement
+
+    df = table([("1", "q", "c", m, a, 0.5, 1.0) for m, a in (("a", "x"), ("b", "y"), (None, "x"))])
+    q = disagreement(df)
+    r = q.first()
+    assert (r.n_rows, r.n_models, r.n_answers, r.level) == (3, 3, 2, "partial_disagreement")
+    assert "ObjectHashAggregate" not in q._jdf.queryExecution().executedPlan().toString()

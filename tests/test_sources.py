@@ -35,8 +35,7 @@ def ids(df):
 
 def test_catalog_and_selection(spark, folder):
     names = [r["_shard"] for r in shards.shard_catalog(spark, folder).collect()]
-    # A file of no bytes holds no shard.
-    assert names == ["a.csv", "b.csv", "bad.csv", "shard_01.csv", "shard_02.csv"]
+    assert names == ["a.csv", "b.csv", "bad.csv", "empty.csv", "shard_01.csv", "shard_02.csv"]
     listed = spark.createDataFrame([(n,) for n in names], "_shard string")
 
     def chosen(selection):
@@ -62,7 +61,7 @@ def test_load(spark, folder):
     assert (by_id["3"]["query"], by_id["3"].title) == ("what", "T")
     assert (by_id["4"]["query"], by_id["4"].title, by_id["4"].text) == (None, None, "short")
     assert by_id["7"].text == " padded " and by_id["8"].text == "a+b %20"
-    assert [(r["_shard"], r.bad_rows) for r in shards.skipped_files(spark, folder).collect()] == [("bad.csv", 1)]
+    assert sorted((r["_shard"], r.bad_rows) for r in shards.skipped_shards(spark, folder).collect()) == [("bad.csv", 1), ("empty.csv", 0)]
     assert ids(shards.load_shards(spark, folder, skip_bad=False)) == ["1", "2", "3", "4", "5", "6", "7", "8"]
     assert ids(shards.load_shards(spark, folder, ["shard_*", "a.csv"])) == ["1", "2", "7", "8"]
     assert shards.load_shards(spark, folder, "nothing*").collect() == []
@@ -80,6 +79,30 @@ def test_partitioned_shards(spark, tmp_path):
     assert (back["2"]["query"], back["2"].text, back["2"]["_shard"]) == (None, None, "s+2.csv")
 
 
+def test_shard_of_good_and_bad_files_is_left_out_whole(spark, tmp_path):
+    for name, body in {"_shard=x.csv/1.csv": "query,text\nq1,t\nq2,t\n", "_shard=x.csv/2.csv": "query,text\nq3,t,more\n",
+                       "_shard=y.csv/1.csv": "text,query\nt,q4\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body)
+    good, bad = shards.load_and_check(spark, str(tmp_path))
+    assert [(r["_shard"], r["query"]) for r in good.collect()] == [("y.csv", "q4")]
+    assert [tuple(r) for r in bad.select("_shard", "bad_rows").collect()] == [("x.csv", 1)]
+
+
+def test_first_rows_in_a_stated_order(spark):
+    df = spark.createDataFrame([("b", "1", "t"), ("a", "2", "t"), ("a", "2", "t"), ("a", "1", "t"), ("a", None, "t")],
+                               "_shard string, _id string, context string")
+    assert sorted((r["_shard"], str(r["_id"])) for r in columns.head_rows(df, 3).collect()) == [("a", "1"), ("a", "2"), ("a", "None")]
+    assert columns.head_rows(df, 4).count() == 4 and columns.head_rows(df, 40).count() == 5
+
+
+def test_row_ids(spark):
+    df = spark.createDataFrame([("q", None), ("q", "7"), ("q2", "7")], "question string, _id string")
+    rows = columns.with_row_id(df).collect()
+    assert len({r.row_id for r in rows}) == 3 and sorted(r["_id"] for r in rows)[-2:] == ["7", "7"]
+    assert all(r["_id"] for r in rows)
+
+
 def test_input_names(spark):
     one = spark.createDataFrame([("q", "c")], "query string, text string")
     assert columns.normalize_input(one).columns == ["question", "context"]
@@ -176,12 +199,12 @@ def test_reports(spark, table, tmp_path):
     assert list(parsed) == ["overall", "per_model", "comparative", "categorical"]
     assert parsed["overall"] == {"total_predictions": 3, "avg_overlap": 0.5}
     assert parsed["per_model"]["m2"]["mean_score"] == 0.9
-    reports.write_summary(df, str(tmp_path / "summary.md"))
+    reports.write_summary(doc, str(tmp_path / "summary.md"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "summary.md")).collect()]
     assert lines[:8] == ["# Metrics Summary", "", "## Overall", "- total_predictions: 3", "- avg_overlap: 0.5", "",
                          "## Per Model", "### m1"]
     assert lines[8:12] == ["- count: 2", "- mean_score: 0.5", "- median_score: 0.5", "- avg_overlap: 0.5"]
-    reports.write_per_model_csv(df, str(tmp_path / "per_model.csv"))
+    reports.write_per_model_csv(doc, str(tmp_path / "per_model.csv"))
     head = spark.read.option("header", True).csv(str(tmp_path / "per_model.csv"))
     assert head.columns == ["model", "count", "mean_score", "median_score", "avg_overlap"] and head.count() == 2
     reports.write_wide(df, "m1", "m2", str(tmp_path / "wide"))
@@ -193,5 +216,6 @@ def test_reports(spark, table, tmp_path):
 
 
 def test_summary_without_scores(table):
-    lines = [r.line for r in reports.summary_lines(table([("1", "q", "c", "m", "a", None, 0.0)])).orderBy("ord").collect()]
+    document = metrics.metrics_document(table([("1", "q", "c", "m", "a", None, 0.0)]))
+    lines = [r.line for r in reports.summary_lines(document).orderBy("ord").collect()]
     assert lines[-4:] == ["- count: 1", "- mean_score: None", "- median_score: None", "- avg_overlap: 0.0"]
