@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .native import ascii_lower, row_key
+from .native import ascii_lower, row_key, stored
 
 K = 2  # words per gram: the shortest phrase has two
 # Phrases that are a label wherever they stand, and the openings of public licence notices.
@@ -28,7 +28,6 @@ NOTICES = {
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
 OUTSIDE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased words
-INSIDE_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 DRIFT = 3  # diagonals this near belong to one span
 COVER = 0.6  # share of a notice's words that makes a label
 
@@ -60,7 +59,9 @@ def diagonals(docs: DataFrame, text: str, key: str, templates: DataFrame) -> Dat
     Every pair of every text is joined with the templates' pairs by hash, and
     the words are compared. The templates are constants, so they are broadcast.
     """
-    grams = docs.select(*row_key(key, text), F.posexplode(grams_of(words_of(F.col(text)))).alias("pos", "gram"))
+    # The words are a column of their own, so that a text is split once.
+    words = docs.select(*row_key(key, text), words_of(F.col(text)).alias("_words"))
+    grams = words.select("r1", "r2", F.posexplode(grams_of(F.col("_words"))).alias("pos", "gram"))
     found = grams.join(F.broadcast(templates), (F.xxhash64("gram") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")))
     # Repeated rows share their hashes, and vote once.
     return (found.withColumn("diagonal", F.col("pos") - F.col("place"))
@@ -83,11 +84,15 @@ def spans(votes: DataFrame) -> DataFrame:
               .withColumn("span", F.sum("new").over(order))
               .groupBy("r1", "r2", "template", "label", "phrase", "size", "span")
               .agg(F.min("diagonal").cast("bigint").alias("start"), F.flatten(F.collect_list("places")).alias("places")))
-    words = F.array_distinct(F.concat("places", *[F.transform("places", lambda p, k=k: p + k) for k in range(1, K)]))
+    words = F.array_distinct(F.concat("places", *[F.transform("places", _later(k)) for k in range(1, K)]))
     verified = merged.withColumn("share", F.size(words) / F.col("size")).where(F.col("share") >= COVER)
     return whole.unionByName(verified.select(*whole.columns))
 
 
+def _later(words: int):
+    return lambda place: place + words
+
+
 def license_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: DataFrame | None = None) -> DataFrame:
     """Licence labels of every row.
 
@@ -97,16 +102,18 @@ def license_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templ
     distinct, sorted, joined by commas) and ``score``: the largest share of a
     template's words in a verified span, 1 for a phrase, 0 without a span.
     Null and empty texts have no words. Repeated rows get equal results, rows
-    without a key are scanned like others, other columns are not read.
+    without a key are scanned like others, other columns are not read. Runs one
+    job that writes the votes, a row per matched text, template and offset.
     """
-    found = spans(diagonals(docs, text, key, template_grams(docs.sparkSession) if templates is None else templates))
+    # Written, since both kinds of spans are made from the votes.
+    votes = stored(diagonals(docs, text, key, template_grams(docs.sparkSession) if templates is None else templates), "votes")
+    found = spans(votes)
     base = F.when(F.col("phrase"), F.col("start"))
     by_row = found.groupBy("r1", "r2").agg(
         F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("phrase"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"))
-    rows = docs.select(key, *row_key(key, text), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(INSIDE_ANY_CASE))
-                       .cast("bigint").alias("n_words"))
+    rows = docs.select(key, *row_key(key, text), F.size(words_of(F.col(text))).cast("bigint").alias("n_words"))
     return rows.join(by_row, ["r1", "r2"], "left").select(
         key, "n_words", F.coalesce("n_base", F.lit(0).cast("bigint")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
