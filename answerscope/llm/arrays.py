@@ -43,7 +43,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd base modulo 2^64, and those of its inverse."""
     known = _POWERS.get(base)
     if known is None or len(known[0]) < n:
-        size = 1 << max(n, 1 << 16).bit_length()
+        size = (n >> 16) + 2 << 16
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, U64)
@@ -157,7 +157,7 @@ def unpack_bits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def pieces(table: pa.Table | pa.RecordBatch, column: str, limit: int = 4 << 20):
+def pieces(table: pa.Table | pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Slices of a batch whose text column holds about ``limit`` bytes at most; a longer text is alone."""
     import pyarrow.compute as pc
 

@@ -25,7 +25,7 @@ from ..session import scratch_path, ship_package
 from .arrays import Words, pieces
 from .native import stored
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 GAP = 256  # positions between texts; windows and slop stay below it
 BLOCK_WINDOWS = 50_000
 NEAR_SHARE = 0.8

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 ASK = "owner bigint, chunk bigint, keys binary, flags binary"
 ANSWER = "chunk bigint, owner bigint, bits binary"
 
@@ -35,7 +35,7 @@ def in_chunks(docs: DataFrame, columns: list[str], text: str = "text", key: str
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = partitions_of(docs)
     chunks = max(parts, size // CHUNK_BYTES + 1)
-    return docs.select(*columns, F.pmod(F.xxhash64(key, text), F.lit(chunks)).alias("chunk")), max(parts, chunks // 4)
+    return docs.select(*columns, F.pmod(F.xxhash64(key, text), F.lit(chunks)).alias("chunk")), max(parts, chunks // 16)
 
 
 def owner_keys(hashes: np.ndarray, second: np.ndarray, owners: int, bits: int) -> np.ndarray:
