@@ -33,11 +33,10 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | DataFrame | float = 0.
     else:
         sizes = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), float(weights)))
     sizes = sizes.withColumn("weight", F.when(F.col("size") > 0, F.coalesce("weight", F.lit(0.0))).otherwise(0.0))
-    totals = sizes.agg(F.sum("size").alias("_size"), F.sum("weight").alias("_weight"))
-    share = F.try_divide("weight", F.col("_weight"))
-    rate = F.try_divide(share * F.lit(float(epochs)) * F.col("_size"), F.col("size"))
-    # One row of totals, not a product of rows.
-    return sizes.crossJoin(totals).select("source", "size", "weight", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    totals = sizes.agg(F.struct(F.sum("size").alias("size"), F.sum("weight").alias("weight"))).scalar()
+    share = F.try_divide("weight", F.col("_all.weight"))
+    rate = F.try_divide(share * F.lit(float(epochs)) * F.col("_all.size"), F.col("size"))
+    return sizes.withColumn("_all", totals).select("source", "size", "weight", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def cumulative(rate: Column) -> Column:
