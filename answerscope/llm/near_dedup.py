@@ -13,12 +13,12 @@
    one global order, so a large group forms a star. Components follow.
 4. Buckets that still hold several components are searched for links between
    them: small buckets by their pairs (estimated, then verified), large ones
-   blockwise: the members outside the largest component, on full sets, against
-   blocks of all members. Only links are emitted. Components follow again.
+   blockwise: the members outside a bucket's largest component, on full sets,
+   against blocks of all members of the buckets around that component. Only links are emitted. Components follow again.
 
 No step makes all pairs of a group, and none leaves out a pair of different
-components that shares a band. Two sets at the threshold share no band with a
-probability below 1e-7 (0.85) or 5e-8 (0.80, see ``BANDS``).
+components that shares a band. The bands follow the threshold: two sets that
+reach it share no band with a probability of at most ``MISS``.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ from .arrays import U64, WORD_BASE, Words, mix, pieces, rolling, span_hashes
 from .components import components
 from .native import row_key, stored
 
-BANDS, ROWS = 32, 4
-REGISTERS = BANDS * ROWS
+REGISTERS = 128
+MISS = 1e-6
 BASE = 1.001
 RATE = 20.0  # of the exponential hashes; the largest possible register then stays in reach of one element
 TOP = 0xFFFE
@@ -111,6 +111,18 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (low + high) / 2
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Number of bands and registers in each: as long as ``MISS`` allows, four at most, and as few as it needs.
+
+    Registers are equal with a probability of the similarity at least.
+    """
+    for rows in (4, 3, 2, 1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-(min(percent, 99) / 100) ** rows))
+        if bands * rows <= REGISTERS:
+            return bands, rows
+    raise ValueError(f"a threshold of {percent} percent needs more than {REGISTERS} registers")
+
+
 def similar(n_a, n_b, common, percent: int):
     """Whether the exact similarity reaches the threshold, in whole numbers."""
     return 100 * common >= percent * (n_a + n_b - common)
@@ -196,11 +208,11 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
 LINK = "a bigint, b bigint"
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """``bucket, rep, n``: a row per class and band."""
-    width = 2 * ROWS
-    hashes = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(BANDS)])
-    return classes.select("rep", "n", F.explode(hashes).alias("bucket"))
+def _bands(classes: DataFrame, percent: int) -> DataFrame:
+    """``bucket, rep``: a row per class and band."""
+    bands, rows = banding(percent)
+    hashes = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * rows * i + 1, 2 * rows)) for i in range(bands)])
+    return classes.select("rep", F.explode(hashes).alias("bucket"))
 
 
 def _close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -222,22 +234,26 @@ def _across(buckets: DataFrame, parts: DataFrame, classes: DataFrame, sets: Data
     members = stored(buckets.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "members")
     split = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2"))
     split = stored(split.where("c1 <> c2").select("bucket", "m"), "split-buckets")
-    small = members.join(split.where(F.col("m") <= SMALL_BUCKET), "bucket").select("bucket", "rep", "component", "n")
-    other = small.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    sizes = F.lit(100) * F.least("n", "nb") >= F.lit(percent) * F.greatest("n", "nb")
-    pairs = (small.join(other, "bucket").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("cb")) & sizes)
+    small = members.join(split.where(F.col("m") <= SMALL_BUCKET), "bucket").select("bucket", "rep", "component")
+    other = small.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
+    pairs = (small.join(other, "bucket").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("cb")))
              .select(F.col("rep").alias("a"), "b").distinct())
     by_pairs = _links(_close_pairs(pairs, classes, percent), sets, percent)
-    large = split.where(F.col("m") > SMALL_BUCKET)
-    rows = members.join(large, "bucket")
+    rows = members.join(split.where(F.col("m") > SMALL_BUCKET).select("bucket"), "bucket")
     main = (rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
             .groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main")))
-    rows = rows.join(main, "bucket")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = rows.select("bucket", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), "rep", "component", F.lit(False).alias("asks"))
-    asking = rows.where("component <> main").select(
-        "bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "rep", "component", F.lit(True).alias("asks"))
-    by_blocks = (own.unionByName(asking).join(sets, "rep").groupBy("bucket", "block")
+    # Buckets around the same component hold much the same members; those meet once.
+    rows = stored(rows.join(main, "bucket").select("main", "rep", "component").distinct(), "large-buckets")
+    outside = F.col("component") != F.col("main")
+    in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = rows.join(rows.groupBy("main").agg(in_blocks(F.count(F.lit(1))).alias("blocks"),
+                                              in_blocks(F.count_if(outside)).alias("ask_blocks")), "main")
+    # A group is a block of asking members and a block of members, so its size is bounded.
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64(F.lit(n), "rep"), n).cast("int").alias(n)
+    own = rows.where("ask_blocks > 0").select("main", each("ask_blocks").alias("ask_blocks"), one("blocks"), "rep", "component", F.lit(False).alias("asks"))
+    asking = rows.where(outside).select("main", one("ask_blocks"), each("blocks").alias("blocks"), "rep", "component", F.lit(True).alias("asks"))
+    by_blocks = (own.unionByName(asking).join(sets, "rep").groupBy("main", "ask_blocks", "blocks")
                  .applyInArrow(lambda t: _block_links(t, percent), LINK))
     return by_pairs.unionByName(by_blocks)
 
@@ -266,19 +282,22 @@ def near_dedup(docs: DataFrame, shingle: int = 3, percent: int = 85, text: str =
                                                     F.first("registers").alias("registers"))
                      .select("rep", "n", "least.*", "registers"), "classes")
 
-    bands = _bands(classes)
+    bands = _bands(classes, percent)
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min_by("rep", F.xxhash64("rep")).alias("pivot")).where("m > 1")
     buckets = stored(bands.join(shared.select("bucket", "pivot"), "bucket"), "buckets")
+    # Only classes that share a bucket go on. Their list grows with the corpus, so it is never broadcast.
+    wanted = stored(classes.join(buckets.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    texts = rows.select("r1", "r2", "text").join(wanted.select("rep", "r1", "r2").hint("merge"), ["r1", "r2"])
+    sets = stored(texts.dropDuplicates(["r1", "r2"]).select("rep", "text")
+                  .mapInArrow(lambda b: _sets(b, shingle), "rep bigint, shingles binary"), "shingle-sets")
+
     pairs = buckets.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    close = _close_pairs(pairs, classes, percent)
+    close = _close_pairs(pairs, wanted, percent)
     best = close.groupBy("a").agg(F.max_by("b", F.struct(F.col("estimate") >= percent / 100, F.xxhash64("b"))).alias("b"))
 
-    wanted = stored(classes.join(buckets.select("rep").distinct(), "rep").select("rep", "r1", "r2"), "wanted")
-    texts = rows.select("r1", "r2", "text").join(wanted, ["r1", "r2"])
-    sets = stored(texts.mapInArrow(lambda b: _sets(b, shingle), "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingle-sets")
     links = stored(_links(best, sets, percent), "links")
     parts = components(links).withColumnRenamed("id", "rep")
-    more = stored(_across(buckets.drop("pivot"), parts, classes, sets, percent), "links")
+    more = stored(_across(buckets.drop("pivot"), parts, wanted, sets, percent), "links")
     parts = components(links.unionByName(more)).withColumnRenamed("id", "rep")
 
     named = classes.join(parts, "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
