@@ -1,10 +1,10 @@
-"""The three rule-based predictors of ``sources.stand_in`` as Python predictors."""
+"""The three rule-based predictors of ``fixtures.stand_in`` as Python predictors."""
 
 from __future__ import annotations
 
 import re
 
-from .predict import Model, Predictor
+from ..operators.predict import Model, Predictor
 
 _SENTENCE_END = re.compile(r"[.\n]+\s*", re.ASCII)
 

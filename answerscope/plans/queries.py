@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..fixtures.predictors import EchoPredictor, LeadPredictor, stand_in_models
+from ..fixtures.stand_in import STAND_IN_MODELS, predictions, qa_inputs
 from ..functions import bands, text
 from ..functions.statistics import to_number
 from ..operators import compare, disagreement, distributions, filters, metrics, predict, ranking
 from ..operators.predict import Model, Predictor
-from ..operators.stand_in_predictors import EchoPredictor, LeadPredictor, stand_in_models
 from ..session import scratch_path
 from ..sinks import reports
 from ..sources import columns, results, shards
-from ..sources.stand_in import STAND_IN_MODELS, predictions, qa_inputs
 from . import evaluation
 
 # The two models compared side by side; the second one has missing answers.

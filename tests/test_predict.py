@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from answerscope.operators import predict
 from answerscope.operators.predict import Model, Predictor
-from answerscope.operators.stand_in_predictors import LeadPredictor, stand_in_models
+from answerscope.fixtures.predictors import LeadPredictor, stand_in_models
 from answerscope.plans.evaluation import advanced_analysis, home_analysis, run_evaluation, two_model_study
 from answerscope.sources import results
 from answerscope.streaming.ingest import evaluate_new_shards, shard_stream
