@@ -149,7 +149,12 @@ def line_dedup(docs: DataFrame, least: int = 10, text: str = "text", key: str =
     return split.select(
         *own, F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size(places)).cast("bigint").alias("n_dropped"),
-        F.array_join(F.transform(places, lambda i: F.get("_lines", i)), "\n").alias("kept_text"))
+        _pick(F.col("_lines"), places).alias("kept_text"))
+
+
+def _pick(lines: Column, places: Column) -> Column:
+    """The lines at some places, joined. The text is split once, whatever the optimizer puts for ``lines``."""
+    return F.transform(F.array(lines), lambda once: F.array_join(F.transform(places, lambda i: F.get(once, i)), "\n"))[0]
 
 
 def new_lines(docs: DataFrame, runs: LineRuns, text: str = "text", key: str = "doc_id") -> DataFrame:
