@@ -112,3 +112,27 @@ def test_language_hard_rows(spark, hard, nothing):
     assert (said[1].lang_pred, said[2].lang_pred) == ("en", "de") and said[3].rejected
     assert identify(nothing, model).collect() == []
     assert fit(nothing).langs == [] and {r.lang_pred for r in identify(hard, Model([])).collect()} == {"und"}
+
+
+def test_every_gram_is_in_the_model(spark):
+    """Over four million grams, each seen once."""
+    text = F.pandas_udf(lambda ids: ids.map(lambda i: "".join(map(chr, np.random.default_rng(i).integers(0x4E00, 0x9F00, 60_000)))), "string")
+    docs = spark.range(0, 100, 1, 8).select(F.col("id").alias("doc_id"), text("id").alias("text"), F.lit("zh").alias("lang"))
+    model = fit(docs, calibration_rows=1)
+    assert model.langs == ["zh"] and len(model.opened().grams[ORDER]) > 4_000_000
+
+
+def test_files_hold_the_plain_model(spark, monkeypatch):
+    from answerscope.llm import language_id
+
+    monkeypatch.setattr(language_id, "PACK", 1024)
+    rng = np.random.default_rng(6)
+    rows = [(str(i % 3), "".join(map(chr, rng.choice([*range(97, 110), 0x4E00, 0xAC00, 0xD55C, 0x20], 300)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    table = language_id.count_grams(docs).toPandas()
+    want = kneser_ney(["0", "1", "2"], table.lang.astype(int).to_numpy(), table.gram.to_numpy().view(np.uint64), table.n.to_numpy())
+    got = language_id.kneser_ney_files(language_id.count_grams(docs)).opened()
+    assert got.langs == want.langs and got.unknown == want.unknown
+    for order in range(1, ORDER + 1):
+        assert (got.grams[order] == want.grams[order]).all() and (got.contexts[order] == want.contexts[order]).all()
+        assert np.allclose(got.logs[order], want.logs[order], atol=1e-5) and np.allclose(got.backoffs[order], want.backoffs[order], atol=1e-5)
