@@ -9,7 +9,12 @@ The test windows come in blocks, and every shard meets every block. In a shard
 the lists of a window's two rarest terms are intersected after each is shifted
 by the term's offset in the window; the few places left are checked against
 the other terms' lists. A place where all terms stand at their offsets is an
-exact match; one where most stand within ``slop`` of them is a proximity match.
+exact match.
+
+A place of a window in a text where ``NEAR_SHARE`` of the terms stand within
+``slop`` of their offsets is a proximity match. The terms that may miss and one
+more are the rarest, absent ones first; one of them must stand, so a place is
+sought around each place of these. Words of other texts do not count.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ SHARD_BYTES = 4 << 20
 GAP = 256  # positions between texts; windows and slop stay below it
 BLOCK_WINDOWS = 50_000
 NEAR_SHARE = 0.8
+NEAR_PLACES = 1 << 18  # places that are tried at once
 
 
 # --- index -----------------------------------------------------------------
@@ -138,43 +144,76 @@ class _Lists:
 
     def near(self, number: np.ndarray, place: np.ndarray, slop: int) -> np.ndarray:
         """Whether the terms stand within ``slop`` of the places."""
-        low = (number << 32) | np.maximum(place - slop, 0)
-        at = np.minimum(np.searchsorted(self.keys, low), len(self.keys) - 1)
+        return self.between(number, place - slop, place + slop)
+
+    def between(self, number: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the terms stand at a place from ``low`` to ``high``."""
+        least = (number << 32) | np.maximum(low, 0)
+        at = np.minimum(np.searchsorted(self.keys, least), len(self.keys) - 1)
         found = self.keys[at]
-        return (found >= low) & (found <= ((number << 32) | np.maximum(place + slop, 0))) & (place + slop >= 0)
+        return (found >= least) & (found <= ((number << 32) | np.maximum(high, 0))) & (high >= 0)
+
+
+def _probe(lists: _Lists, number: np.ndarray, counts: np.ndarray, window: np.ndarray, offset: np.ndarray):
+    """Every place of one term for each window: the place in the list of windows, and the place in the shard."""
+    sizes = counts[window, offset]
+    row = np.repeat(np.arange(len(window)), sizes)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return row, lists.places[lists.begins[number[window, offset]][row] + step].astype(np.int64)
+
+
+def _exact(lists: _Lists, number: np.ndarray, counts: np.ndarray, lengths: np.ndarray):
+    """Places and windows of exact matches."""
+    inside = np.arange(number.shape[1]) < lengths[:, None]
+    alive = np.flatnonzero(((counts > 0) | ~inside).all(1) & (lengths > 0))
+    order = np.argsort(np.where(inside, counts, np.iinfo(np.int64).max), axis=1, kind="stable")
+    row, place = _probe(lists, number, counts, alive, order[alive, 0])
+    window = alive[row]
+    start = place - order[window, 0]
+    for k in range(1, number.shape[1]):  # the second rarest list first, and on with the places left
+        j = order[window, k]
+        keep = ~inside[window, j] | lists.near(number[window, j], start + j, 0)
+        window, start = window[keep], start[keep]
+    return start, window
 
 
-def _matches(lists: _Lists, terms: np.ndarray, lengths: np.ndarray, slop: int):
-    """Places and windows: exact matches, and proximity matches."""
-    width = terms.shape[1]
+def _near(lists: _Lists, number: np.ndarray, counts: np.ndarray, lengths: np.ndarray, slop: int, first: np.ndarray):
+    """Texts and windows of proximity matches."""
+    width = number.shape[1]
     inside = np.arange(width) < lengths[:, None]
-    number, counts = lists.look_up(terms)
-    counts = np.where(inside, counts, 0)
     needed = np.ceil(NEAR_SHARE * lengths).astype(np.int64)
-    alive = np.flatnonzero((counts > 0).sum(1) >= np.maximum(needed, 1))
-    if not len(alive):
-        none = np.zeros(0, np.int64)
-        return (none, none), (none, none)
-    order = np.argsort(np.where(counts > 0, counts, np.iinfo(np.int64).max), axis=1, kind="stable")
-    rarest = order[alive, 0]
-    sizes = counts[alive, rarest]
-    window = np.repeat(alive, sizes)
-    step = np.arange(len(window)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    offset = np.repeat(rarest, sizes)
-    start = lists.places[lists.begins[number[window, offset]] + step].astype(np.int64) - offset
-    if width > 1:  # intersect with the second rarest list, shifted by its offset
-        second = order[window, 1]
-        single = (counts[window, second] == 0) | (lengths[window] < 2)
-        keep = single | lists.near(number[window, second], start + second, slop)
-        window, start = window[keep], start[keep]
-    exact, near = np.ones(len(window), bool), np.zeros(len(window), np.int64)
-    for j in range(width):
-        here = inside[window, j]
-        some = counts[window, j] > 0
-        exact &= ~here | (some & lists.near(number[window, j], start + j, 0))
-        near += here & some & lists.near(number[window, j], start + j, slop)
-    close = near >= needed[window]
-    return (start[exact], window[exact]), (start[close], window[close])
+    alive = np.flatnonzero(((counts > 0).sum(1) >= needed) & (lengths > 0))
+    order = np.argsort(np.where(inside, counts, np.iinfo(np.int64).max), axis=1, kind="stable")
+    begins, ends = first, np.append(first[1:] - 1, np.iinfo(np.uint32).max)
+    found = [np.zeros((2, 0), np.int64)]
+
+    def stands(window, rank, start, text, far):
+        """Whether the term of this rank is in the text, at most ``far`` from its offset."""
+        term = order[window, rank]
+        low, high = np.maximum(start + term - far, begins[text]), np.minimum(start + term + far, ends[text])
+        return (rank < lengths[window]) & (counts[window, term] > 0) & lists.between(number[window, term], low, high)
+
+    for k in range(width):
+        # The rarest term of a match has rank k, so the k rarer ones count as missed.
+        probed = alive[(k <= lengths - needed)[alive]]
+        probed = probed[counts[probed, order[probed, k]] > 0]
+        each = counts[probed, order[probed, k]]
+        parts = (np.cumsum(each) - each) // NEAR_PLACES
+        for part in np.unique(parts):
+            some = probed[parts == part]
+            row, place = _probe(lists, number, counts, some, order[some, k])
+            window, text = some[row], np.searchsorted(first, place, side="right") - 1
+            start = place - order[window, k]
+            misses = np.full(len(window), k, np.int64)
+            for j in range(k + 1, width):  # twice slop: the probed term may stand slop away itself
+                misses += (j < lengths[window]) & ~stands(window, j, start, text, 2 * slop)
+                keep = misses <= lengths[window] - needed[window]
+                window, text, start, misses = window[keep], text[keep], start[keep], misses[keep]
+            good = np.zeros(len(window), bool)
+            for shift in range(-slop, slop + 1):
+                good |= sum(stands(window, j, start + shift, text, slop).astype(np.int64) for j in range(k, width)) >= needed[window]
+            found.append(np.unique(np.stack((text[good], window[good])), axis=1))
+    return tuple(np.concatenate(found, axis=1))
 
 
 def _by_text(texts: np.ndarray, values: np.ndarray, n: int):
@@ -194,7 +233,10 @@ def _search(batches, width: int, slop: int):
             items = np.frombuffer(row["items"], np.int32).astype(np.int64)
             terms = np.frombuffer(row["window_terms"], np.uint64).reshape(-1, width)
             first = np.frombuffer(row["first"], np.int64)
-            (start, window), (near_start, near_window) = _matches(lists, terms, lengths, slop)
+            number, counts = lists.look_up(terms)
+            counts = np.where(np.arange(width) < lengths[:, None], counts, 0)
+            start, window = _exact(lists, number, counts, lengths)
+            near_text, near_window = _near(lists, number, counts, lengths, slop, first)
             n = len(first)
             text_of = lambda p: np.searchsorted(first, p, side="right") - 1
             text = text_of(start)
@@ -202,7 +244,7 @@ def _search(batches, width: int, slop: int):
             words = np.repeat(start, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             hits, h = _by_text(np.repeat(text, each), words, n)
             exact, e = _by_text(text, items[window], n)
-            near, m = _by_text(text_of(np.maximum(near_start, 0)), items[near_window], n)
+            near, m = _by_text(near_text, items[near_window], n)
             some = np.flatnonzero((np.diff(h) > 0) | (np.diff(m) > 0))
             names = np.array(row["names"], object)
             yield pa.RecordBatch.from_arrays(

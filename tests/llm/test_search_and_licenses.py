@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 from brute import benchmark_hits, random_texts
 from conftest import HARD
 
@@ -26,6 +29,41 @@ def test_proximity(spark):
     assert [rows[i].near_items for i in (1, 2, 3)] == [["p"], ["p"], []]
 
 
+def test_proximity_against_brute_force(spark):
+    """Several texts in one shard, with the words of each window elsewhere too."""
+    rng = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(60)]
+    items = [(str(i), " ".join(rng.choice(names, n))) for i, n in enumerate((10, 10, 5, 14, 3))]
+    texts = []
+    for i in range(60):
+        own = items[i % 5][1].split()
+        for _ in range(rng.integers(0, 4)):  # words go, come or change
+            at = rng.integers(0, len(own))
+            own[at:at + rng.integers(0, 2)] = list(rng.choice(names, rng.integers(0, 2)))
+            own = own or ["w0"]
+        texts.append(" ".join([*rng.choice(names, rng.integers(0, 6)), *own, *rng.choice(names, rng.integers(0, 6))]))
+    texts.append("w1")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    table = spark.createDataFrame(items, "item_id string, text string")
+    for width, slop in ((10, 0), (10, 2), (5, 1)):
+        got = {r.doc_id: r.near_items for r in decontaminate(docs, table, width=width, slop=slop).collect()}
+        want = {i: near_items(t.split(), items, width, slop) for i, t in enumerate(texts)}
+        assert got == want and any(want.values())
+
+
+def near_items(words, items, width, slop):
+    out = set()
+    for name, text in items:
+        own = text.split()
+        for begin in range(max(1, len(own) - width + 1)):
+            window = own[begin:begin + width]
+            for start in range(-len(window) - slop, len(words) + slop):
+                there = sum(w in words[max(0, start + j - slop):max(0, start + j + slop + 1)] for j, w in enumerate(window))
+                if there >= math.ceil(0.8 * len(window)):
+                    out.add(name)
+    return sorted(out)
+
+
 def test_index_is_asked_again(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "c d")], "doc_id bigint, text string")
     index = build_index(docs)
