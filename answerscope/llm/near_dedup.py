@@ -7,12 +7,12 @@
 2. Registers are banded; classes that share a band meet. In each bucket one
    member, chosen by hash, is the pivot: its pairs with the others are
    estimated by maximum likelihood over how many registers are greater, smaller
-   and equal, given both set sizes. Estimates over four deviations below the
-   threshold are left.
+   and equal, given both set sizes. The estimates only choose; only pairs whose
+   sizes rule a link out are left.
 3. Each class verifies one pair on full sets, with the pivot that is first in
    one global order, so a large group forms a star. Components follow.
 4. Buckets that still hold several components are searched for links between
-   them: small buckets by their pairs (estimated, then verified), large ones
+   them: small buckets by their pairs, large ones
    blockwise: the members outside a bucket's largest component, on full sets,
    against blocks of all members of the buckets around that component. Only links are emitted. Components follow again.
 
@@ -156,15 +156,13 @@ def _matrix(column, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _estimated(batches, least: float):
+def _estimated(batches):
     for batch in batches:
         if not len(batch):
             continue
         close = estimate(_matrix(batch.column("ra"), np.uint16, REGISTERS), _matrix(batch.column("rb"), np.uint16, REGISTERS),
                          np.asarray(batch.column("na"), float), np.asarray(batch.column("nb"), float))
-        keep = pa.array(close >= least)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep),
-                                          pa.array(close[close >= least])], names=["a", "b", "estimate"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(close)], names=["a", "b", "estimate"])
 
 
 def _verified(batches, percent: int):
@@ -215,13 +213,22 @@ def _bands(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("rep", F.explode(hashes).alias("bucket"))
 
 
-def _close_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``a, b, estimate`` of the pairs whose sizes and registers allow a link."""
+def _able(percent: int):
+    """Whether the sizes allow a link: two sets share no more than the smaller one has."""
+    return F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
+
+
+def _able_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of the pairs whose sizes allow a link."""
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_able(percent)).select("a", "b")
+
+
+def _estimates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``a, b, estimate`` of the pairs whose sizes allow a link."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    least = percent / 100 - 4 * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
-    sizes = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes)
-    return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda b: _estimated(b, least), f"{LINK}, estimate double")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(_able(percent))
+    return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated, f"{LINK}, estimate double")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -238,7 +245,7 @@ def _across(buckets: DataFrame, parts: DataFrame, classes: DataFrame, sets: Data
     other = small.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
     pairs = (small.join(other, "bucket").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("cb")))
              .select(F.col("rep").alias("a"), "b").distinct())
-    by_pairs = _links(_close_pairs(pairs, classes, percent), sets, percent)
+    by_pairs = _links(_able_pairs(pairs, classes, percent), sets, percent)
     rows = members.join(split.where(F.col("m") > SMALL_BUCKET).select("bucket"), "bucket")
     main = (rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
             .groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main")))
@@ -292,7 +299,7 @@ def near_dedup(docs: DataFrame, shingle: int = 3, percent: int = 85, text: str =
                   .mapInArrow(lambda b: _sets(b, shingle), "rep bigint, shingles binary"), "shingle-sets")
 
     pairs = buckets.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    close = _close_pairs(pairs, wanted, percent)
+    close = _estimates(pairs, wanted, percent)
     best = close.groupBy("a").agg(F.max_by("b", F.struct(F.col("estimate") >= percent / 100, F.xxhash64("b"))).alias("b"))
 
     links = stored(_links(best, sets, percent), "links")

@@ -136,3 +136,13 @@ def test_files_hold_the_plain_model(spark, monkeypatch):
     for order in range(1, ORDER + 1):
         assert (got.grams[order] == want.grams[order]).all() and (got.contexts[order] == want.contexts[order]).all()
         assert np.allclose(got.logs[order], want.logs[order], atol=1e-5) and np.allclose(got.backoffs[order], want.backoffs[order], atol=1e-5)
+
+
+def test_pairs_of_low_estimates_are_verified(spark):
+    """Pairs at the threshold whose registers agree least, of 60,000 tried."""
+    seeds = (6622, 7623, 12855, 30425, 31658, 44089)
+    rows = [(2 * k + side, " ".join(f"s{s}w{i}" for i in range(3 * side, 37 + 3 * side))) for k, s in enumerate(seeds) for side in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(docs, 1, 85).collect()}
+    want = near_components(rows, 1, 85)
+    assert [got[k] for k, _ in rows] == want and {c for _, c in want} == {0, 2, 4, 6, 8, 10}
