@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format as chats, decontamination, language_id, license_scan as licenses, line_dedup, mixing, near_dedup, quality_rules as rules, substring_dedup as substrings, suffix_dedup as suffixes
+from . import chat_format as chats, decontamination, hard_negatives, language_id, license_scan as licenses, line_dedup, mixing, near_dedup, near_vectors, quality_rules as rules, substring_dedup as substrings, suffix_dedup as suffixes, whitening
 
 
 def _read(spark, sf_dir, name):
@@ -65,6 +65,25 @@ def op10_chat_format(spark, sf_dir):
     return chats.chat_format(_read(spark, sf_dir, "conversations"))
 
 
+def op11_whitening(spark, sf_dir):
+    done = whitening.whiten(_read(spark, sf_dir, "embeddings"), components=16, weights="one", scale=64, offset=1_000_000)
+    # The exact deviation is a decimal; where it needs more than 64 bits a long cannot hold it.
+    rows = done.select("vec_id", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "explained", "identity_error",
+                       F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+                       F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(rows, anchors=F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+def op13_near_vectors(spark, sf_dir):
+    return near_vectors.near_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_quality_rules, op3_decontaminate, op4_suffix_dedup, op5_license_scan, op6_language_id,
-    op7_line_dedup, op8_near_dedup, op9_mix_sources, op10_chat_format)}
+    op7_line_dedup, op8_near_dedup, op9_mix_sources, op10_chat_format, op11_whitening, op12_hard_negatives, op13_near_vectors)}

@@ -149,6 +149,44 @@ rendered as (
 select conv_id, row_number() over (partition by conv_id order by block) - 1 as part, n_turns, copies, part_turns, rendered
 from rendered"""
 
+_OP12 = """
+with sized as (select len(embedding) as d from embeddings where len(embedding) > 0 group by 1 order by count(*) desc, 1 limit 1),
+rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda c: floor(256 * c::double)) as x
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) = (select d from sized)
+    and len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = len(embedding)),
+scored as (
+  select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id, b.label, list_dot_product(a.x, b.x)::bigint as score
+  from rows a join rows b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+positives as (
+  select * from scored where label = anchor_label
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id,
+       (row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id))::integer as rank,
+       n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scored n on n.anchor_id = p.anchor_id and n.label <> p.label
+where 100 * n.score between 50 * p.score and 95 * p.score
+qualify row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) <= 3"""
+
+_OP13 = """
+with recursive sized as (select len(embedding) as d from embeddings where len(embedding) > 0 group by 1 order by count(*) desc, 1 limit 1),
+rows as (
+  select vec_id, label, list_transform(embedding, lambda c: c::double) as x
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) = (select d from sized)
+    and len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = len(embedding)
+    and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from rows a join rows b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.x, b.x) >= 0.98),
+reached(vec_id, other) as (select vec_id, vec_id from embeddings union select r.vec_id, l.b from reached r join links l on l.a = r.other),
+least as (select vec_id, min(other) as component_id from reached group by vec_id),
+counts as (select a as vec_id, count(*) as n_links from links group by a)
+select e.vec_id, coalesce(c.n_links, 0) as n_links, m.component_id, e.vec_id = m.component_id as kept
+from embeddings e join least m using (vec_id) left join counts c using (vec_id)"""
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _OP2,
     "op3_decontaminate": _OP3,
@@ -156,4 +194,6 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": _OP7,
     "op9_mix_sources": _OP9,
     "op10_chat_format": _OP10,
+    "op12_hard_negatives": _OP12,
+    "op13_near_vectors": _OP13,
 }

@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(UPPER, LOWER)
 WHITE = " \t\n\x0b\x0c\r"
@@ -110,3 +112,49 @@ def random_texts(n, words, longest, seed, separator=" "):
         else:
             texts.append(separator.join(rng.choice(words) for _ in range(rng.randint(1, longest))))
     return texts
+
+
+def usable_vector(v, dim):
+    return v is not None and len(v) == dim and all(c is not None and np.isfinite(c) for c in v)
+
+
+def whitened(vectors, components, scale, offset, by_count):
+    """``x, n, sums`` of the fit list, deviations and whitened rows of all vectors, explained shares; signs are free."""
+    x = np.floor(scale * np.array(vectors, float)).astype(np.int64) + offset
+    fit = x if by_count else np.unique(x, axis=0)
+    n, sums = len(fit), fit.sum(axis=0)
+    centred = lambda m: (m - sums // n) - (sums % n) / n
+    v = centred(fit).T @ centred(fit) / n
+    values, axes = np.linalg.eigh(v)
+    top = np.argsort(-values)[:components]
+    top = top[values[top] > 1e-9 * values.max()]
+    return n, ((n * x - sums) ** 2).sum(axis=1), centred(x) @ axes[:, top] / np.sqrt(values[top]), values[top] / np.trace(v)
+
+
+def hard_negatives(rows, anchor, positives, negatives, low, high, scale):
+    """``(key, label, vector)`` rows of one length; the result's tuples, sorted."""
+    rows = [(k, l, [int(np.floor(scale * c)) for c in v]) for k, l, v in rows]
+    out = []
+    for i, (k, l, x) in enumerate(rows):
+        if not anchor(k):
+            continue
+        ranked = sorted((-sum(a * b for a, b in zip(x, y)), kk, j) for j, (kk, _, y) in enumerate(rows) if j != i)
+        for s, p, _ in [r for r in ranked if rows[r[2]][1] == l][:positives]:
+            inside = [(n, t) for t, n, j in ranked if rows[j][1] != l and low * -s <= 100 * -t <= high * -s]
+            out += [(k, p, r + 1, n, -s, -t) for r, (n, t) in enumerate(inside[:negatives])]
+    return sorted(out)
+
+
+def near_vectors(rows, threshold):
+    """``(key, label, vector)`` rows; ``(n_links, component)`` of each."""
+    ok = [k is not None and l is not None and v is not None and usable_vector(v, len(v)) and any(v) for k, l, v in rows]
+    linked = np.zeros((len(rows), len(rows)), bool)
+    for i, (_, l, v) in enumerate(rows):
+        for j, (_, m, w) in enumerate(rows):
+            if i != j and ok[i] and ok[j] and l == m and len(v) == len(w):
+                a, b = np.array(v, float), np.array(w, float)
+                linked[i, j] = a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= threshold
+    component = [k for k, _, _ in rows]
+    for _ in rows:
+        component = [c if not linked[i].any() else min([c, *(component[j] for j in np.flatnonzero(linked[i]))]) for i, c in enumerate(component)]
+    return list(zip(linked.sum(axis=1).tolist(), component))
