@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.bands import correlation_direction, correlation_strength
 from ..functions.statistics import half_even, pearson
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, with_quantiles
 
 QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
 CORRELATED = ("score", "overlap", "question_length", "context_length")
@@ -16,10 +16,8 @@ CORRELATED = ("score", "overlap", "question_length", "context_length")
 
 def score_describe(df: DataFrame, value: str = "score", digits: int = 4) -> DataFrame:
     """Per model: non-null count, mean, sample deviation, min, quartiles, max."""
-    spread = (df.where(F.col("model").isNotNull()).groupBy("model").agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max")))
-    full = spread.join(exact_quantiles(df, "model", value, QUARTILES), "model", "left")
+    full = with_quantiles(df, "model", value, QUARTILES, F.count(value).alias("count"), F.avg(value).alias("mean"),
+                          F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     return full.select("model", "count", *[
         half_even(F.col(c), digits).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 

@@ -9,7 +9,7 @@ from ..functions.keys import answer_key, is_complete, pair_id, pair_of
 from ..functions.statistics import half_even
 from ..functions.text import nonspace_count, word_count
 from ..sources.columns import annotate
-from .quantiles import exact_quantiles
+from .quantiles import brackets, merged_summaries, select_ranks, summary_of, with_quantiles
 
 
 def overall_metrics(df: DataFrame) -> DataFrame:
@@ -22,12 +22,9 @@ def per_model_metrics(df: DataFrame) -> DataFrame:
 
     ``count`` counts rows; a model without any score has null statistics.
     """
-    sums = (df.where(F.col("model").isNotNull()).groupBy("model")
-            .agg(F.count(F.lit(1)).alias("count"), F.avg("score").alias("mean_score"),
-                 F.avg("overlap").alias("avg_overlap")))
-    medians = exact_quantiles(df, "model", "score", {"median_score": 0.5})
-    return (sums.join(medians, "model", "left")
-            .select("model", "count", "mean_score", "median_score", "avg_overlap"))
+    return with_quantiles(df, "model", "score", {"median_score": 0.5}, F.count(F.lit(1)).alias("count"),
+                          F.avg("score").alias("mean_score"), F.avg("overlap").alias("avg_overlap")).select(
+        "model", "count", "mean_score", "median_score", "avg_overlap")
 
 
 def agreement_groups(df: DataFrame) -> DataFrame:
@@ -106,39 +103,59 @@ def dataset_profile(df: DataFrame) -> DataFrame:
         F.avg("question_length").alias("mean_question_length"), F.max("question_length").alias("max_question_length"))
 
 
+def score_cells(df: DataFrame) -> DataFrame:
+    """Mergeable sums per (model, band): ``model, band, n, s, scored, o, overlapped, summary``."""
+    return df.groupBy("model", risk_band(F.col("score")).alias("band")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.count("score").alias("scored"),
+        F.sum("overlap").alias("o"), F.count("overlap").alias("overlapped"), summary_of("score").alias("summary"))
+
+
+def document_of(cells: DataFrame, scores: DataFrame, agreement: DataFrame) -> DataFrame:
+    """The metrics document from cells, the rows (or counted rows) with ``model`` and ``score``, and the agreement.
+
+    The rolled-up cells, one row per model, per band and in all, are one scalar
+    from which the brackets of the medians and the document are made.
+    """
+    spark = cells.sparkSession
+    by_model, by_band, everything = 1, 2, 3
+    sums = [F.sum(c).alias(c) for c in ("n", "s", "scored", "o", "overlapped")]
+    rolled = cells.groupingSets([["model"], ["band"], []], "model", "band").agg(
+        F.grouping_id().alias("g"), *sums, merged_summaries("summary").alias("summary"))
+    cell = F.struct("g", "model", "band", "n", "s", "scored", "o", "overlapped", "summary")
+    every = spark.range(1).select(rolled.agg(F.collect_list(cell)).scalar().alias("every"))
+    of_models = F.filter("every", lambda r: (r["g"] == by_model) & r["model"].isNotNull())
+    by_key = F.map_from_entries(F.transform(F.filter(of_models, lambda r: r["summary"]["n"] > 0),
+                                            lambda r: F.struct(r["model"], brackets(r["summary"], [0.5]))))
+    medians = select_ranks(scores, "model", "score", every.select(by_key).scalar(), {"median_score": 0.5})
+    medians = medians.agg(F.map_from_entries(F.collect_list(F.struct("model", "median_score")))).scalar()
+
+    avg_overlap = lambda r: F.try_divide(r["o"], r["overlapped"])
+    model = lambda r: F.struct(r["model"], F.struct(
+        r["n"].alias("count"), F.try_divide(r["s"], r["scored"]).alias("mean_score"),
+        F.try_element_at(F.col("medians"), r["model"]).alias("median_score"), avg_overlap(r).alias("avg_overlap")))
+    place = F.create_map(*[F.lit(x) for i, (_, label) in enumerate(RISK_BANDS) for x in (label, i)])
+    band = lambda r: F.struct((-r["n"]).alias("order"), place[r["band"]].alias("place"), r["band"], r["n"])
+    overall = lambda r: F.struct(r["n"].alias("total_predictions"), F.coalesce(avg_overlap(r), F.lit(0.0)).alias("avg_overlap"))
+    nothing = F.struct(F.lit(0).cast("long").alias("total_predictions"), F.lit(0.0).alias("avg_overlap"))
+    # The grand total of an empty table is a row of nulls.
+    total = F.filter("every", lambda r: (r["g"] == everything) & r["n"].isNotNull())
+    bands = F.sort_array(F.transform(F.filter("every", lambda r: r["g"] == by_band), band))
+    return every.withColumn("medians", medians).select(
+        F.coalesce(F.try_element_at(F.transform(total, overall), F.lit(1)), nothing).alias("overall"),
+        F.map_from_entries(F.sort_array(F.transform(of_models, model))).alias("per_model"),
+        agreement.select(F.struct("avg_unique_answers")).scalar().alias("comparative"),
+        F.map_from_entries(F.transform(bands, lambda b: F.struct(b["band"], b["n"]))).alias("categorical"))
+
+
 def metrics_document(df: DataFrame) -> DataFrame:
     """One row with the nested parts overall, per_model, comparative, categorical.
 
-    Counts and sums are taken once per (model, band); everything but medians
-    and agreement follows from these few rows. The lists gathered here have
-    one entry per model or band. A table without overlap is annotated first.
+    Counts, sums and sketches are taken once per (model, band); everything but the exact medians
+    and agreement follows from these few rows. A table without overlap is annotated first.
     """
     if "overlap" not in df.columns:
         df = annotate(df)
-    cells = df.groupBy("model", risk_band(F.col("score")).alias("band")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.count("score").alias("scored"),
-        F.sum("overlap").alias("o"), F.count("overlap").alias("overlapped"))
-    sums = [F.sum(c).alias(c) for c in ("n", "s", "scored", "o", "overlapped")]
-    by_model, by_band, everything = 1, 2, 3
-    rolled = cells.groupingSets([["model"], ["band"], []], "model", "band").agg(F.grouping_id().alias("g"), *sums)
-    full = rolled.join(exact_quantiles(df, "model", "score", {"median_score": 0.5}), "model", "left")
-
-    avg_overlap = F.try_divide("o", "overlapped").alias("avg_overlap")
-    model = F.struct("model", F.struct(F.col("n").alias("count"), F.try_divide("s", "scored").alias("mean_score"),
-                                       "median_score", avg_overlap))
-    place = F.create_map(*[F.lit(x) for i, (_, label) in enumerate(RISK_BANDS) for x in (label, i)])
-    band = F.struct((-F.col("n")).alias("order"), place[F.col("band")].alias("place"), "band", "n")
-    overall = F.struct(F.col("n").alias("total_predictions"), F.coalesce(avg_overlap, F.lit(0.0)).alias("avg_overlap"))
-    nothing = F.struct(F.lit(0).cast("long").alias("total_predictions"), F.lit(0.0).alias("avg_overlap"))
-    parts = full.agg(
-        F.max(F.when(F.col("g") == everything, overall)).alias("overall"),
-        F.collect_list(F.when((F.col("g") == by_model) & F.col("model").isNotNull(), model)).alias("models"),
-        F.collect_list(F.when(F.col("g") == by_band, band)).alias("bands"))
-    return parts.select(
-        F.coalesce("overall", nothing).alias("overall"),
-        F.map_from_entries(F.sort_array("models")).alias("per_model"),
-        avg_unique_answers(df).select(F.struct("avg_unique_answers")).scalar().alias("comparative"),
-        F.map_from_entries(F.transform(F.sort_array("bands"), lambda b: F.struct(b["band"], b["n"]))).alias("categorical"))
+    return document_of(score_cells(df), df, avg_unique_answers(df))
 
 
 def document_rows(document: DataFrame) -> DataFrame:

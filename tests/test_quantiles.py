@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from answerscope.operators.distributions import QUARTILES, box_summary, score_describe
-from answerscope.operators.quantiles import exact_quantiles
+from answerscope.operators.quantiles import exact_quantiles, order_statistics, with_quantiles
 
 
 def random_values():
@@ -62,12 +62,57 @@ def test_box_summary(spark):
 
 def test_value_counts_are_computed_once(spark):
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("model"), F.rand(1).alias("score"))
-    q = exact_quantiles(df.where(F.col("score") >= 0), "model", "score", QUARTILES)
+    q = order_statistics(df.where(F.col("score") >= 0), "model", "score", list(QUARTILES.values()))
     q.collect()
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
 
 
+def test_brackets_of_large_groups(spark):
+    """Groups beyond the size that is bracketed as a whole: ties, order, scales, NaN; bit for bit the value of that rank."""
+    rng = np.random.default_rng(8)
+    values = {
+        "sorted": np.arange(60_000) / 7, "ties": rng.integers(0, 5, 30_000) / 4, "mostly one": np.where(rng.random(20_000) < 0.9, 0.5, rng.random(20_000)),
+        "scales": 10.0 ** rng.uniform(-200, 200, 20_000) * rng.choice([-1, 1], 20_000), "edge": np.r_[np.zeros(5001), np.ones(4999)],
+        "infinite": np.r_[np.full(3000, -np.inf), rng.random(3000), np.full(2999, np.inf)], "just": rng.random(2001)}
+    pdf = __import__("pandas").DataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("ties", float("nan"))] * 9, columns=["model", "score"])
+    df = spark.createDataFrame(pdf.sample(frac=1, random_state=1)).repartition(6)
+    probs = {"q0": 0.0, "q01": 0.001, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q999": 0.9995, "q100": 1.0}
+    got = {r["model"]: r for r in with_quantiles(df, "model", "score", probs, F.count(F.lit(1)).alias("rows")).collect()}
+    for k, vs in values.items():
+        ordered = np.sort(vs)
+        assert got[k].rows == len(vs) + 9 * (k == "ties")
+        for name, p in probs.items():
+            at = (len(vs) - 1) * p
+            low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+            with np.errstate(invalid="ignore"):
+                want = low + (high - low) * (at - np.floor(at))
+            assert got[k][name] == want or (np.isnan(want) and np.isnan(got[k][name])), (k, name)
+
+
+def test_two_passes(spark):
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            passed.add(len(b))
+            yield b
+
+    df = spark.range(9000).select((F.col("id") % 3).cast("string").alias("model"), (F.col("id") / 7).alias("score")).mapInPandas(counted, "model string, score double")
+    assert with_quantiles(df, "model", "score", QUARTILES, F.avg("score").alias("m")).count() == 3
+    assert with_quantiles(df, "model", "score", QUARTILES, F.avg("score").alias("m")).collect() and passed.value <= 9000 * 2 + 9000 * 2
+
+
+def test_a_missed_rank_is_an_error(spark, monkeypatch):
+    """A bracket that cannot hold its rank fails the query; nothing near is returned."""
+    from answerscope.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "MARGIN", -0.01)
+    df = spark.range(5000).select(F.lit("m").alias("model"), F.rand(3).alias("score"))
+    with pytest.raises(Exception, match="bracket"):
+        exact_quantiles(df, "model", "score", {"q": 0.5}).collect()
+
+
 def test_no_join_by_key(spark):
     """Without adaptive execution nothing may rest on a join of all values by model."""
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("model"), F.rand(1).alias("score"))
