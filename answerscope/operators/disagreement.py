@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.keys import answer_key, is_complete, pair_id, pair_of, seeded_order, with_row
+from ..functions.keys import PAIR_KEY, answer_key, is_complete, pair_id, pair_of, seeded_order, with_row
 from ..functions.text import preview
 from .ranking import best_model_extremes
 
@@ -34,23 +34,46 @@ def _pair_classes(df: DataFrame, marked: bool = False) -> DataFrame:
     very many rows over tasks; keys, counts and model names are all that is
     shuffled. With ``marked`` the rows flagged ``_excluded`` are counted too.
     """
-    # A missing model counts as one, so it needs a value of its own.
-    model = F.coalesce(F.concat(F.lit("m"), F.col("model")), F.lit("-"))
     answer = answer_key(F.coalesce("answer", F.lit("")))
-    each_sums = [F.count(F.lit(1)).alias("_rows")]
-    pair_sums = [F.sum("_rows").alias("n_rows"), F.count_distinct("_answer").alias("n_answers"),
-                 F.count_distinct("_model").alias("n_models")]
-    if marked:
-        each_sums.append(F.count_if("_excluded").alias("_excluded"))
-        pair_sums.append(F.sum("_excluded").alias("n_excluded"))
-    each = df.groupBy(pair_of(df).alias("_pair"), answer.alias("_answer"), model.alias("_model")).agg(*each_sums)
+    sums = [F.count(F.lit(1)).alias("_rows")] + ([F.count_if("_excluded").alias("_excluded")] if marked else [])
+    return _classes_of_counts(df.groupBy(pair_of(df).alias("_pair"), answer.alias("_answer"), _named_model().alias("_model")).agg(*sums))
+
+
+def _named_model() -> Column:
+    """The model's name; a missing model counts as one, so it gets a value of its own."""
+    return F.coalesce(F.concat(F.lit("m"), F.col("model")), F.lit("-"))
+
+
+def _classes_of_counts(each: DataFrame) -> DataFrame:
+    """The classes from rows counted per ``_pair``, ``_answer`` and ``_model``, each combination once."""
+    sums = [F.sum("_rows").alias("n_rows"), F.count_distinct("_answer").alias("n_answers"), F.count_distinct("_model").alias("n_models")]
+    if "_excluded" in each.columns:
+        sums.append(F.sum("_excluded").alias("n_excluded"))
     level = disagreement_level(F.col("n_models"), F.col("n_answers"), is_complete(F.col("_pair")))
-    return each.groupBy("_pair").agg(*pair_sums).withColumn("level", level)
+    return each.groupBy("_pair").agg(*sums).withColumn("level", level)
+
+
+def disagreement_of_counts(counts: DataFrame, models) -> DataFrame:
+    """As ``disagreement``, from rows counted by ``_pair``, ``_answer`` and ``model`` in ``_rows`` (several counts add up).
+
+    With the models named, a pair's number of models is a sum of flags, so
+    all that is grouped are pairs and their answers, and counts stored by pair need no exchange.
+    """
+    answer = F.coalesce("_answer", answer_key(F.lit("")))
+    flags = {f"_m{i}": F.max(F.when(F.col("model") == m, 1).otherwise(0)) for i, m in enumerate(models)}
+    each = counts.groupBy("_pair", answer.alias("_answer")).agg(F.sum("_rows").alias("_rows"), *[f.alias(n) for n, f in flags.items()])
+    n_models = sum([F.max(n) for n in flags], F.lit(0)).cast("bigint")
+    classes = each.groupBy("_pair").agg(F.sum("_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_answers"), n_models.alias("n_models"))
+    return _shown_classes(classes.withColumn("level", disagreement_level(F.col("n_models"), F.col("n_answers"), is_complete(F.col("_pair")))))
+
+
+def _shown_classes(classes: DataFrame) -> DataFrame:
+    return classes.select(pair_id(F.col("_pair")).alias("pair_id"), "n_rows", "n_models", "n_answers", "level")
 
 
 def disagreement(df: DataFrame) -> DataFrame:
     """Every pair with its counts and class."""
-    return _pair_classes(df).select(pair_id(F.col("_pair")).alias("pair_id"), "n_rows", "n_models", "n_answers", "level")
+    return _shown_classes(_pair_classes(df))
 
 
 def sample_pairs(df: DataFrame, count: int = 5, seed: int = SEED) -> DataFrame:
@@ -75,8 +98,21 @@ def sample_pairs(df: DataFrame, count: int = 5, seed: int = SEED) -> DataFrame:
     return chosen.select("_pair", "pair_id", "level", F.row_number().over(shuffled).alias("position"))
 
 
+LOOKED_UP = 10  # as many values as a Parquet filter takes one by one
+
+
 def pair_members(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All rows of the given pairs (``_pair``), each with its pair's columns."""
+    """All rows of the given pairs (``_pair``), each with its pair's columns.
+
+    On a table with stored keys a few pairs are found first (runs a job, which takes at most
+    ``LOOKED_UP`` + 1 of them) and looked up by value, so that files and row groups
+    without them are skipped; more pairs, or a table without keys, are joined.
+    """
+    if PAIR_KEY in df.columns:
+        few = pairs.limit(LOOKED_UP + 1).collect()
+        if len(few) <= LOOKED_UP:
+            small = df.sparkSession.createDataFrame(few, pairs.schema)
+            return with_pair(df.where(F.col(PAIR_KEY).isin([r["_pair"] for r in few]))).join(small, "_pair")
     return with_pair(df).join(pairs, "_pair")
 
 

@@ -36,7 +36,13 @@ def agreement_groups(df: DataFrame) -> DataFrame:
     """
     each = (df.groupBy(pair_of(df).alias("_pair"), answer_key(F.col("answer")).alias("_answer"))
             .agg(F.count(F.lit(1)).alias("_rows")))
-    return (each.where(is_complete(F.col("_pair"))).groupBy("_pair").agg(F.sum("_rows").alias("n_predictions"), F.count(F.lit(1)).alias("n_unique_answers"))
+    return agreement_of_counts(each)
+
+
+def agreement_of_counts(counts: DataFrame) -> DataFrame:
+    """As ``agreement_groups``, from rows counted by ``_pair`` and ``_answer`` in ``_rows`` (several counts add up)."""
+    each = counts.where(is_complete(F.col("_pair"))).groupBy("_pair", "_answer").agg(F.sum("_rows").alias("_rows"))
+    return (each.groupBy("_pair").agg(F.sum("_rows").alias("n_predictions"), F.count(F.lit(1)).alias("n_unique_answers"))
             .select(pair_id(F.col("_pair")).alias("pair_id"), "n_predictions", "n_unique_answers"))
 
 
@@ -110,8 +116,8 @@ def score_cells(df: DataFrame) -> DataFrame:
         F.sum("overlap").alias("o"), F.count("overlap").alias("overlapped"), summary_of("score").alias("summary"))
 
 
-def document_of(cells: DataFrame, scores: DataFrame, agreement: DataFrame) -> DataFrame:
-    """The metrics document from cells, the rows (or counted rows) with ``model`` and ``score``, and the agreement.
+def document_of(cells: DataFrame, scores: DataFrame, agreement: DataFrame, weight: str | None = None) -> DataFrame:
+    """The metrics document from cells, rows with ``model`` and ``score`` (that count ``weight`` times), and the agreement.
 
     The rolled-up cells, one row per model, per band and in all, are one scalar
     from which the brackets of the medians and the document are made.
@@ -126,7 +132,7 @@ def document_of(cells: DataFrame, scores: DataFrame, agreement: DataFrame) -> Da
     of_models = F.filter("every", lambda r: (r["g"] == by_model) & r["model"].isNotNull())
     by_key = F.map_from_entries(F.transform(F.filter(of_models, lambda r: r["summary"]["n"] > 0),
                                             lambda r: F.struct(r["model"], brackets(r["summary"], [0.5]))))
-    medians = select_ranks(scores, "model", "score", every.select(by_key).scalar(), {"median_score": 0.5})
+    medians = select_ranks(scores, "model", "score", every.select(by_key).scalar(), {"median_score": 0.5}, weight)
     medians = medians.agg(F.map_from_entries(F.collect_list(F.struct("model", "median_score")))).scalar()
 
     avg_overlap = lambda r: F.try_divide(r["o"], r["overlapped"])

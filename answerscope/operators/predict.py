@@ -8,11 +8,13 @@ back. This is the only Python code that touches rows.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import char_count, overlap_with, split_lower, truncate
@@ -151,14 +153,24 @@ def load_failures(spark: SparkSession, models: Sequence[Model]) -> dict[str, str
                 _load(m)
             except Exception as e:
                 failed.append((m.key, str(e)))
+            finally:
+                # A worker holds only what its own tasks use.
+                _LOADED.pop(m.token, None)
         yield pd.DataFrame(failed, columns=["model", "error"])
 
     rows = spark.range(1).coalesce(1).mapInPandas(attempt, "model string, error string").collect()
     return {r.model: r.error for r in rows}
 
 
+def _task_attempts(spark: SparkSession) -> int:
+    """How often Spark tries a task; a local session tries once unless its master says otherwise."""
+    master = spark.sparkContext.master
+    local = re.fullmatch(r"local(?:\[[^,\]]+(?:,\s*(\d+))?\])?", master)
+    return int(local[1] or 1) if local else int(spark.sparkContext.getConf().get("spark.task.maxFailures", "4"))
+
+
 def fan_out(df: DataFrame, models: Sequence[Model], batch_size: int = 32, context_limit: int | None = None,
-            extra: Sequence[str] = (), strict: bool = False, annotate: bool = False) -> DataFrame:
+            extra: Sequence[str] = (), retry_load: bool = False, annotate: bool = False) -> DataFrame:
     """Every input row once per model, with ``model, answer, score, start, end, error, model_error``.
 
     With ``annotate`` also ``overlap``, ``context_length`` and ``question_length``;
@@ -168,14 +180,15 @@ def fan_out(df: DataFrame, models: Sequence[Model], batch_size: int = 32, contex
     sets the parallelism, and nothing is shuffled. A batch is ``batch_size``
     consecutive rows of a partition. A model that cannot be loaded yields
     ``model_error`` on its rows; see ``failed_models`` and ``without_models``.
-    With ``strict`` it fails the task, which Spark then tries elsewhere, so
-    that no model ends up with part of its rows.
+    With ``retry_load`` it first fails the task, before any row is computed, which
+    Spark then tries elsewhere; only the last attempt yields ``model_error``.
     """
     if not models:
         raise ValueError("no models selected")
     models = list({m.key: m for m in models}.values())
     names = ["question", "context", *extra]
     ship_package(df.sparkSession)
+    attempts = _task_attempts(df.sparkSession) if retry_load else 1
 
     @F.pandas_udf(RESULT_TYPE)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -184,7 +197,7 @@ def fan_out(df: DataFrame, models: Sequence[Model], batch_size: int = 32, contex
             try:
                 ready[m.token] = _load(m)
             except Exception as e:
-                if strict:
+                if TaskContext.get().attemptNumber() + 1 < attempts:
                     raise
                 broken[m.token] = str(e)
         for columns in batches:

@@ -127,23 +127,23 @@ def brackets(summary: Column, probs) -> Column:
     return F.array(*[one(float(p)) for p in probs])
 
 
-def select_ranks(df: DataFrame, key: str, value: str, by_key: Column, probs: dict[str, float]) -> DataFrame:
+def select_ranks(df: DataFrame, key: str, value: str, by_key: Column, probs: dict[str, float], weight: str | None = None) -> DataFrame:
     """One row per key with a column per named probability, linearly interpolated.
 
-    ``by_key`` is a scalar map from key to its brackets (in the order of the sorted distinct
+    With ``weight`` a row counts that many times. ``by_key`` is a scalar map from key to its brackets (in the order of the sorted distinct
     probabilities); keys are model names, not data. Values outside all brackets are only counted, per gap
     between brackets, before anything is shuffled. A rank that its bracket misses, over
     ten deviations off, raises an error and is never answered by a neighbour.
     """
     order = sorted(set(probs.values()))
-    rows = df.select(F.col(key).alias("k"), present(value).alias("v")).where("k is not null and v is not null")
+    rows = df.select(F.col(key).alias("k"), present(value).alias("v"), (F.col(weight) if weight else F.lit(1)).alias("w")).where("k is not null and v is not null")
     rows = rows.withColumn("b", F.try_element_at(by_key, F.col("k")))
     ends = [(F.col("b")[i]["low"], F.col("b")[i]["high"]) for i in range(len(order))]
     inside = reduce(or_, [F.col("v").between(low, high) for low, high in ends])
     # A value outside stands at the last bracket below it, after that bracket's own values.
     below = F.array_max(F.array(*[F.when(high < F.col("v"), high) for _, high in ends]))
-    counts = (rows.select("k", F.when(inside, F.col("v")).otherwise(below).alias("v"), inside.alias("inside"))
-              .groupBy("k", "v", "inside").agg(F.count(F.lit(1)).alias("c")))
+    counts = (rows.select("k", F.when(inside, F.col("v")).otherwise(below).alias("v"), inside.alias("inside"), "w")
+              .groupBy("k", "v", "inside").agg(F.sum("w").alias("c")))
     upto = F.sum("c").over(Window.partitionBy("k").orderBy(F.asc_nulls_first("v"), F.desc("inside"))
                            .rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("end", upto).withColumn("b", F.try_element_at(by_key, F.col("k")))

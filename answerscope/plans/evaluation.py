@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import clean_overlap
 from ..operators import compare, disagreement, distributions, filters, metrics, predict, ranking
 from ..sinks import reports
+from ..sinks.run_store import RunStore
 from ..sources.columns import head_rows, normalize_input, with_row_id
 from ..sources.shards import load_and_check
 
@@ -31,9 +32,10 @@ def run_evaluation(spark: SparkSession, shards: str, output: str, selection="all
                    extra: Sequence[str] = (), run_id: str | None = None, csv: str | None = None) -> EvaluationRun:
     """Load shards, run every model, store the predictions, write the reports.
 
-    Models that do not load are found first and left out. The predictions are
-    computed and written once; the metrics document reads that table and is
-    written once, and the other reports are made from the document. ``skipped``
+    Models that do not load are found first and left out; a model that breaks later is left
+    out too, reported in ``failures``, and the others' predictions are complete and not computed again.
+    The predictions are written once and published as a whole (see ``RunStore``); the metrics
+    document is made from the states stored beside them, and the other reports from the document. ``skipped``
     lists the shards that were left out (see ``skipped_shards``).
     ``csv`` may be ``"csv"`` or ``"csv.gz"`` for an export beside the table.
     """
@@ -50,14 +52,18 @@ def run_evaluation(spark: SparkSession, shards: str, output: str, selection="all
         raise RuntimeError(f"no model could be loaded: {failures}")
 
     run_id = run_id or datetime.now().strftime("%Y%m%d_%H%M%S")
-    table = f"{output}/predictions"
-    raw = predict.fan_out(inputs, good, batch_size, context_limit, extra, strict=True, annotate=True)
-    reports.write_predictions(raw, table, run_id)
-    results = spark.read.parquet(table).where(f"run_id = '{run_id}'")
+    store = RunStore(spark, f"{output}/predictions")
+    for model, error in failures.items():
+        store.fail(run_id, model, error)
+    failures |= store.evaluate(inputs, good, run_id, batch_size=batch_size, context_limit=context_limit, extra=extra)
+    if len(failures) == len({m.key for m in models}):
+        raise RuntimeError(f"no model gave predictions: {failures}")
+    store.publish(run_id)
+    results = store.read(run_id)
     run_folder = f"{output}/{run_id}"
     if csv:
         reports.write_results_csv(results, run_folder, gzip=csv == "csv.gz")
-    fresh = metrics.metrics_document(results)
+    fresh = store.metrics_document(run_id)
     reports.write_metrics_json(fresh, f"{run_folder}/metrics.json")
     document = spark.read.schema(fresh.schema).json(f"{run_folder}/metrics.json")
     reports.write_summary(document, f"{run_folder}/metrics_summary.md")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..fixtures.predictors import EchoPredictor, LeadPredictor, stand_in_models
@@ -12,6 +13,7 @@ from ..operators import compare, disagreement, distributions, filters, metrics,
 from ..operators.predict import Model, Predictor
 from ..session import scratch_path
 from ..sinks import reports
+from ..sinks.run_store import RunStore
 from ..sources import columns, results, shards
 from . import evaluation
 
@@ -472,25 +474,73 @@ def skipped_shards(spark, sf_dir):
 
 # --- on a stored run ---------------------------------------------------------
 
-def _stored(spark, sf_dir):
-    table = scratch_path(spark, "predictions")
-    reports.write_predictions(predictions(spark, sf_dir), table, RUN_ID)
-    return results.latest_run(spark.read.parquet(table))
+def _stored(spark, sf_dir) -> RunStore:
+    store = RunStore(spark, scratch_path(spark, "runs"))
+    store.write(predictions(spark, sf_dir), RUN_ID, STAND_IN_MODELS)
+    store.publish(RUN_ID)
+    return store
 
 
 def stored_agreement(spark, sf_dir):
-    return metrics.agreement_groups(_stored(spark, sf_dir))
+    return _stored(spark, sf_dir).agreement_groups()
 
 
 def stored_disagreement(spark, sf_dir):
-    return disagreement.disagreement(_stored(spark, sf_dir))
+    return _stored(spark, sf_dir).disagreement()
 
 
 def stored_side_by_side(spark, sf_dir):
-    rows = _stored(spark, sf_dir).withColumn("_id", F.col("_id").cast("bigint"))
+    rows = _stored(spark, sf_dir).read().withColumn("_id", F.col("_id").cast("bigint"))
     return disagreement.side_by_side(rows, disagreement.sample_pairs(rows))
 
 
+def _in_batches(spark, sf_dir) -> RunStore:
+    """A published run, and a later one of three batches, the second of them repeated; the later one is not published."""
+    store = RunStore(spark, scratch_path(spark, "runs"))
+    rows = predictions(spark, sf_dir)
+    store.write(rows.where(F.col("_id") % 2 == 0), "20260101_000000", STAND_IN_MODELS)
+    store.publish("20260101_000000")
+    for batch in (0, 1, 1, 2):
+        store.write(rows.where(F.col("_id") % 3 == batch), RUN_ID, STAND_IN_MODELS, batch)
+    return store
+
+
+def streamed_run(spark, sf_dir):
+    """What a reader sees while a run of several batches is written, and after it is published."""
+    store = _in_batches(spark, sf_dir)
+    seen = lambda step: store.read().groupBy("run_id", "batch").agg(F.count(F.lit(1)).alias("rows")).withColumn("step", F.lit(step))
+    before = seen("before")
+    store.publish(RUN_ID)
+    return before.unionByName(seen("after"))
+
+
+def merged_states(spark, sf_dir):
+    """The metrics document of a run of three batches, from their states."""
+    store = _in_batches(spark, sf_dir)
+    store.publish(RUN_ID)
+    return _round_doubles(metrics.document_rows(store.metrics_document()))
+
+
+class _BreaksLater(Predictor):
+    """Loads in the first task of a job, as the probe's, and on no other executor."""
+
+    def load_model(self):
+        if TaskContext.get().partitionId() > 0:
+            raise OSError("weights are gone")
+
+    def predict(self, questions, contexts):
+        return [{"answer": q, "score": 1.0} for q in questions]
+
+
+def late_model_failure(spark, sf_dir):
+    """A run in which one model breaks after the start: rows per model that is left, messages of the others."""
+    models = [Model("late", (_BreaksLater,)), Model("broken", (_CannotLoad,)), *stand_in_models().values()]
+    run = evaluation.run_evaluation(spark, _csv_shards(spark, sf_dir), scratch_path(spark, "run"), models=models, extra=("_id",), run_id=RUN_ID)
+    good = run.results.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.lit(None).cast("string").alias("error"))
+    failed = spark.createDataFrame(sorted(run.failures.items()), "model string, error string").withColumn("rows", F.lit(0).cast("bigint"))
+    return good.unionByName(failed)
+
+
 def per_model_csv(spark, sf_dir):
     path = scratch_path(spark, "per-model")
     reports.write_per_model_csv(metrics.metrics_document(predictions(spark, sf_dir)), path)
@@ -578,5 +628,6 @@ QUERIES = {f.__name__: f for f in (
     wide_compare, best_worst, pair_members, side_by_side, top10_best_model, bottom10_best_model,
     top10_global, bottom10_global, extreme_ids, extreme_rows, disagreement_sample, disagree_sample,
     wide_mixed_ids, extreme_mixed_ids, disagreement_edges, skipped_shards, stored_agreement, stored_disagreement,
-    stored_side_by_side, per_model_csv, wide_csv, correlation_csv, run_metrics, home_panels, advanced_panels, study_panels)}
+    stored_side_by_side, per_model_csv, wide_csv, correlation_csv, run_metrics, home_panels, advanced_panels, study_panels,
+    streamed_run, merged_states, late_model_failure)}
 QUERIES["disagreement"] = disagreement_classes

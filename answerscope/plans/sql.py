@@ -474,6 +474,13 @@ from levels l join classes using (pair_id)""",
   count(*) filter (source in ('src3', 'src5') and doc_id % 7 = 0) as bad from documents group by source)
 select _shard, case when bad > 0 then bad else n end as rows, case when bad > 0 then 'skipped' else 'loaded' end as state from r""",
     "run_metrics": _DOCUMENT,
+    "merged_states": _DOCUMENT,
+    "streamed_run": f"""with {_PREDICTIONS}
+select 'before' as step, '20260101_000000' as run_id, 0::integer as batch, count(*) as rows from predictions where _id % 2 = 0
+union all select 'after', '20260202_164950', (_id % 3)::integer, count(*) from predictions group by _id % 3""",
+    "late_model_failure": """
+select m as model, count(*) as rows, null::varchar as error from documents, unnest(['lead', 'lexical', 'echo']) t(m) group by m
+union all select 'late', 0, 'weights are gone' union all select 'broken', 0, 'weights are missing'""",
 }
 ORACLES |= {
     "stored_agreement": ORACLES["agreement_groups"],

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.predict import Model, fan_out, load_failures
-from ..sinks.reports import write_predictions
+from ..operators.predict import Model, load_failures
+from ..sinks.run_store import RunStore
 from ..sources.columns import normalize_input, null_tokens_to_null, with_row_id
 from ..sources.shards import CSV_READ_OPTIONS, file_shard
 
@@ -33,24 +33,31 @@ def shard_stream(spark: SparkSession, folder: str, columns: Sequence[str], files
     return null_tokens_to_null(marked, columns)
 
 
-def evaluate_new_shards(stream: DataFrame, models: Sequence[Model], table: str, checkpoint: str, run_id: str,
+def evaluate_new_shards(stream: DataFrame, models: Sequence[Model], store: RunStore, checkpoint: str, run_id: str,
                         batch_size: int = 32, extra: Sequence[str] = ()) -> StreamingQuery:
     """Predict and store every shard not seen before, then stop.
 
-    All batches of a call belong to the run ``run_id``, each as a partition of
-    its own, so a batch that is repeated after a failure replaces itself and
-    the latest run is whole. Shards with a row of too many fields are left out,
+    All batches of a call belong to the run ``run_id``. A batch that is repeated after a failure
+    gets a new commit in place of the old one. Readers see nothing of it before the
+    run is published, see ``finish``. Shards with a row of too many fields are left out,
     as in the batch load, and so are models that do not load at the start.
     """
     failed = load_failures(stream.sparkSession, models)
+    for model, error in failed.items():
+        store.fail(run_id, model, error)
     good = [m for m in models if m.key not in failed]
 
-    def store(batch: DataFrame, number: int) -> None:
+    def keep(batch: DataFrame, number: int) -> None:
         if SURPLUS in batch.columns:
             bad = batch.where(F.col(SURPLUS).isNotNull()).select("_shard").distinct()
             batch = batch.join(bad, "_shard", "left_anti").drop(SURPLUS)
-        rows = with_row_id(normalize_input(batch), f"{number}-")
-        write_predictions(fan_out(rows, good, batch_size, extra=extra, strict=True, annotate=True), table, run_id, number)
+        store.evaluate(with_row_id(normalize_input(batch), f"{number}-"), good, run_id, number, batch_size=batch_size, extra=extra)
 
-    return (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def finish(query: StreamingQuery, store: RunStore, run_id: str) -> None:
+    """Wait for the query, raise its error if it has one, and publish the run."""
+    query.awaitTermination()
+    store.publish(run_id)

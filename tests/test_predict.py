@@ -6,8 +6,9 @@ from answerscope.operators import predict
 from answerscope.operators.predict import Model, Predictor
 from answerscope.fixtures.predictors import LeadPredictor, stand_in_models
 from answerscope.plans.evaluation import advanced_analysis, home_analysis, run_evaluation, two_model_study
+from answerscope.sinks.run_store import RunStore
 from answerscope.sources import results
-from answerscope.streaming.ingest import evaluate_new_shards, shard_stream
+from answerscope.streaming.ingest import evaluate_new_shards, finish, shard_stream
 
 
 def test_model_selection():
@@ -153,28 +154,27 @@ def test_inputs_are_told_apart_without_ids(spark, tmp_path):
 def test_new_shards_are_evaluated_once(spark, tmp_path):
     folder = tmp_path / "arriving"
     folder.mkdir()
-    table = str(tmp_path / "table")
+    store = RunStore(spark, str(tmp_path / "runs"))
     models = [stand_in_models()["lead"], stand_in_models()["lexical"]]
 
     def run():
         stream = shard_stream(spark, str(folder), ["query", "text", "_id"])
-        q = evaluate_new_shards(stream, models, table, str(tmp_path / "checkpoint"), "20260101_000000")
-        assert q.awaitTermination(120)
+        finish(evaluate_new_shards(stream, models, store, str(tmp_path / "checkpoint"), "20260101_000000"), store, "20260101_000000")
 
     write_shard(folder, "a.csv", range(3))
     run()
     write_shard(folder, "b.csv", range(3, 5))
     run()
     run()
-    stored = spark.read.schema(spark.read.parquet(table).schema).parquet(table)
-    assert stored.count() == 10 and results.latest_run(stored).count() == 10
+    stored = store.read()
+    assert stored.count() == 10
     assert {(r.run_id, r.batch, r["_shard"]) for r in stored.select("run_id", "batch", "_shard").distinct().collect()} == {
         ("20260101_000000", 0, "a.csv"), ("20260101_000000", 1, "b.csv")}
     write_shard(folder, "c.csv", [7])
     (folder / "d.csv").write_text("query,text,_id\nq,c,8\nq,c,9,more\n")
     (folder / "e.csv").write_text("query,text,_id\nq,c\n")
     run()
-    latest = results.latest_run(spark.read.parquet(table))
+    latest = store.read()
     assert latest.count() == 14 and {r["_shard"] for r in latest.where("batch > 1").collect()} == {"c.csv", "e.csv"}
 
 
@@ -184,9 +184,9 @@ def test_stream_with_many_batches_is_one_run(spark, tmp_path):
     for i in range(3):
         write_shard(folder, f"{i}.csv", [i + 1])
     stream = shard_stream(spark, str(folder), ["query", "text", "_id"], files_per_batch=1)
-    q = evaluate_new_shards(stream, [stand_in_models()["lead"]], str(tmp_path / "t"), str(tmp_path / "c"), "20260101_000000")
-    assert q.awaitTermination(120)
-    latest = results.latest_run(spark.read.parquet(str(tmp_path / "t")))
+    store = RunStore(spark, str(tmp_path / "t"))
+    finish(evaluate_new_shards(stream, [stand_in_models()["lead"]], store, str(tmp_path / "c"), "20260101_000000"), store, "20260101_000000")
+    latest = store.read()
     assert latest.count() == 3 and latest.select("batch").distinct().count() == 3
 
 
@@ -195,6 +195,6 @@ def test_stream_refuses_another_header(spark, tmp_path):
     folder.mkdir()
     (folder / "a.csv").write_text("text,query,_id\nCTX,q,1\n")
     stream = shard_stream(spark, str(folder), ["_id", "query", "text"])
-    q = evaluate_new_shards(stream, [stand_in_models()["lead"]], str(tmp_path / "t"), str(tmp_path / "c"), "20260101_000000")
+    q = evaluate_new_shards(stream, [stand_in_models()["lead"]], RunStore(spark, str(tmp_path / "t")), str(tmp_path / "c"), "20260101_000000")
     with pytest.raises(StreamingQueryException):
         q.awaitTermination(120)
