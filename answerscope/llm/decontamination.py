@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 
 from ..session import scratch_path, ship_package
 from .arrays import Words, pieces
-from .native import stored
+from .native import apart, stored
 
 SHARD_BYTES = 4 << 20
 GAP = 256  # positions between texts; windows and slop stay below it
@@ -299,6 +299,9 @@ def clean_documents(docs: DataFrame, items: DataFrame, width: int = 10, text: st
     Rows are told apart by a hash of key and text, so missing and repeated keys
     do no harm; equal rows share their verdict.
     """
-    named = docs.withColumn("_row", F.xxhash64(key, text))
-    found = decontaminate(named, items, width, 0, text, "_row", item).where(F.size("hits") > 0)
-    return named.join(stored(found.select("_row").distinct(), "leaks"), "_row", "left_anti").select(*docs.columns)
+    def without(rows: DataFrame) -> DataFrame:
+        named = rows.withColumn("_row", F.xxhash64(key, text))
+        found = decontaminate(named, items, width, 0, text, "_row", item).where(F.size("hits") > 0)
+        return named.join(stored(found.select("_row").distinct(), "leaks"), "_row", "left_anti")
+
+    return apart(docs, [key, text], (), without)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from .native import WHITE, ascii_lower, row_key, stored
+from .native import apart, WHITE, ascii_lower, row_key, stored
 
 RUN = "k1 bigint, k2 bigint, n bigint"
 SALTS = 16
@@ -130,6 +130,10 @@ def line_dedup(docs: DataFrame, least: int = 10, text: str = "text", key: str =
     documents of their own and count so; they get the same answer. Runs several
     small jobs that write runs and the table of line hashes.
     """
+    return apart(docs, [key, text], ("n_lines", "n_dropped", "kept_text"), lambda d: _without_common(d, least, text, key, batches, runs))
+
+
+def _without_common(docs: DataFrame, least: int, text: str, key: str, batches: int, runs: LineRuns | None) -> DataFrame:
     spark = docs.sparkSession
     runs = runs or LineRuns(spark)
     path = f"{scratch_path(spark, 'lines')}"

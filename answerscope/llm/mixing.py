@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .native import stored, unit_draw
+from .native import apart, stored, unit_draw
 
 PART = 16.0  # largest mean that is inverted at once; a larger one is a sum of equal parts
 
@@ -77,11 +77,16 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | DataFrame | floa
     parts = F.ceil(F.col("rate") / PART).cast("int")
     table = stored(table.select(F.col("source").alias("_source"), parts.alias("_parts"),
                                 cumulative(F.col("rate") / parts).alias("_sums")), "rates")
+    made = ("copy", "shuffle_key")
+    out = apart(docs, [key, text, source], made, lambda d: _repeated(d, table, seed, source, text, key))
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def _repeated(docs: DataFrame, table: DataFrame, seed: int, source: str, text: str, key: str) -> DataFrame:
     own = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rows = docs.select(*own).withColumn("_draw", F.coalesce(F.col(key).cast("string"), F.md5(F.col(text).cast("binary")), F.lit("")))
     joined = rows.join(table, F.col(source).eqNullSafe(F.col("_source")))
     count = poisson(F.col("_sums"), F.col("_parts"), F.lit(str(seed)), F.col("_draw"))
     copies = joined.withColumn("_n", count).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), "_draw", F.col("copy").cast("string")).cast("binary"))
-    out = copies.select(*own, F.col("copy").cast("bigint").alias("copy"), order.alias("shuffle_key"))
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return copies.select(*own, F.col("copy").cast("bigint").alias("copy"), order.alias("shuffle_key"))

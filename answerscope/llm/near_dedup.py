@@ -33,7 +33,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from ..session import ship_package
 from .arrays import U64, WORD_BASE, Words, mix, pieces, rolling, span_hashes
 from .components import components
-from .native import row_key, stored
+from .native import apart, row_key, stored
 
 REGISTERS = 128
 MISS = 1e-6
@@ -278,6 +278,10 @@ def near_dedup(docs: DataFrame, shingle: int = 3, percent: int = 85, text: str =
     empty table gives an empty result. Runs some twenty jobs; each writes a
     small table to the shared folder, so a lost executor repeats one of them.
     """
+    return apart(docs, [key, text], ("n_shingles", "component_id", "kept"), lambda d: _with_components(d, shingle, percent, text, key))
+
+
+def _with_components(docs: DataFrame, shingle: int, percent: int, text: str, key: str) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(key).cast("bigint").alias("key"), *row_key(key, text), F.col(text).alias("text"))

@@ -24,7 +24,8 @@ def hard(spark):
 
     rows = spark.createDataFrame(HARD, "doc_id bigint, text string")
     taken = ("n_words", "n_removed", "kept", "kept_text", "chunk", "owner", "key", "r1", "r2", "rep", "n", "copy", "score",
-             "labels", "n_lines", "component_id", "shard", "first", "spans", "_key", "entropies", "rate", "bucket")
+             "labels", "n_lines", "component_id", "shard", "first", "spans", "_key", "entropies", "rate", "bucket", "_r1", "_r2", "_row", "_draw", "_n",
+             "_source", "_parts", "_sums", "_places", "_lines", "_words", "_text")
     return rows.withColumns({c: F.lit(f"mine:{c}") for c in taken}).withColumn("source", F.lit("s")).withColumn("lang", F.lit("en"))
 
 
