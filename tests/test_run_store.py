@@ -134,12 +134,13 @@ def test_a_few_pairs_skip_row_groups(spark, store):
         spark.conf.unset("parquet.block.size")
     store.publish(NEW)
     df = store.read()
-    pairs = disagreement.with_pair(df.where("_id in ('3', '4444', '17000')")).select("_pair").localCheckpoint()
+    few = lambda which: spark.createDataFrame(disagreement.with_pair(df.where(which)).select("_pair").collect(), "_pair binary")
+    pairs = few("_id in ('3', '4444', '17000')")
     found = disagreement.pair_members(df, pairs)
     assert sorted(r["_id"] for r in found.collect()) == ["17000", "3", "4444"]
     assert 3 <= scanned(found) <= 2000
     # More pairs than are looked up one by one are joined.
-    pairs = disagreement.with_pair(df.where("_id < 20")).select("_pair").localCheckpoint()
+    pairs = few("_id < 20")
     assert disagreement.pair_members(df, pairs).count() == pairs.count() > disagreement.LOOKED_UP
 
 
