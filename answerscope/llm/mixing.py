@@ -64,9 +64,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | DataFrame | floa
                 seed: int = 0, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """Repeat each document a Poisson number of times with its source's mean, in a global shuffle.
 
-    The number comes from the MD5 of seed and key (of the text where the key
-    is null), so it does not depend on partitions or on other documents; rows
-    with the same key and source get the same number. Returns the input's
+    The number comes from the MD5 of seed, key and text's MD5, so it does not
+    depend on partitions or on other documents, and different texts under one
+    key are drawn and shuffled apart; a null key or text counts as empty. Only
+    rows that share key, text and source get the same number. Returns the input's
     columns and ``copy`` (1, 2 ...) and ``shuffle_key``, in the order of the key within
     each partition, and partitions by its hash; input columns of these names
     are replaced. Rows of a source with rate 0 do not appear. An empty table
@@ -82,9 +83,14 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | DataFrame | floa
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
+def _identity(key: str, text: str) -> Column:
+    parts = F.col(key).cast("string"), F.md5(F.col(text).cast("binary"))
+    return F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in parts])
+
+
 def _repeated(docs: DataFrame, table: DataFrame, seed: int, source: str, text: str, key: str) -> DataFrame:
     own = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    rows = docs.select(*own).withColumn("_draw", F.coalesce(F.col(key).cast("string"), F.md5(F.col(text).cast("binary")), F.lit("")))
+    rows = docs.select(*own).withColumn("_draw", _identity(key, text))
     joined = rows.join(table, F.col(source).eqNullSafe(F.col("_source")))
     count = poisson(F.col("_sums"), F.col("_parts"), F.lit(str(seed)), F.col("_draw"))
     copies = joined.withColumn("_n", count).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))

@@ -119,15 +119,15 @@ parts as (select source, ceil(rate / 16)::int as parts, rate / ceil(rate / 16) a
 tables as (select source, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) over (partition by source order by k) as below
            from parts, range(0, 97) t(k)),
 draws as (
-  select d.doc_id, d.source, j,
-         ('0x' || substr(md5('9|' || coalesce(d.doc_id::varchar, md5(d.text), '') || '|' || j::varchar), 1, 13))::bigint / 4503599627370496.0::double as u
+  select d.doc_id, md5(d.text) as body, d.source, j,
+         ('0x' || substr(md5('9|' || coalesce(d.doc_id::varchar, '') || '|' || coalesce(md5(d.text), '') || '|' || j::varchar), 1, 13))::bigint / 4503599627370496.0::double as u
   from documents d join parts p on p.source is not distinct from d.source, range(1, 1000) t(j) where j <= p.parts),
-counts as (select w.doc_id, w.source, sum((t.below <= w.u)::int) as n
-           from draws w join tables t on t.source is not distinct from w.source group by w.doc_id, w.source)
+counts as (select w.doc_id, w.body, w.source, sum((t.below <= w.u)::int) as n
+           from draws w join tables t on t.source is not distinct from w.source group by w.doc_id, w.body, w.source)
 select d.doc_id, d.source, d.lang, d.text, c.copy::bigint as copy,
-       md5('order9|' || coalesce(d.doc_id::varchar, md5(d.text), '') || '|' || c.copy::varchar) as shuffle_key
-from documents d join (select doc_id, source, unnest(range(1, n::bigint + 1)) as copy from counts where n > 0) c
-  on c.doc_id is not distinct from d.doc_id and c.source is not distinct from d.source"""
+       md5('order9|' || coalesce(d.doc_id::varchar, '') || '|' || coalesce(md5(d.text), '') || '|' || c.copy::varchar) as shuffle_key
+from documents d join (select doc_id, body, source, unnest(range(1, n::bigint + 1)) as copy from counts where n > 0) c
+  on c.doc_id is not distinct from d.doc_id and c.body is not distinct from md5(d.text) and c.source is not distinct from d.source"""
 
 _OP10 = """
 with turns as (

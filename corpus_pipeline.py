@@ -6,6 +6,8 @@ all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from answerscope.llm import decontamination, line_dedup, mixing, near_dedup, quality_rules
@@ -29,8 +31,21 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 of their five-word shingles, the one with the smallest id stays."""
-    return near_dedup.near_dedup(docs, shingle=5, percent=80).where("kept").select(*docs.columns)
+    """Of documents linked by 0.8 of their five-word shingles, the one with the smallest id stays.
+
+    Exactly one row of a group stays, also where rows share an id or have none: such
+    tables are numbered first, and ids only order the rows of a group, null ids last.
+    Rows without words are no copies of each other and all stay.
+    """
+    unclear = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or doc_id is null")
+    if unclear.isEmpty():
+        return near_dedup.near_dedup(docs, shingle=5, percent=80).where("kept").select(*docs.columns)
+    number = f"number_{uuid.uuid4().hex}"
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "pipeline-numbered")
+    found = near_dedup.near_dedup(numbered, shingle=5, percent=80, key=number)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", number)).alias("first")
+    chosen = stored(found.groupBy("component_id").agg(first).select(f"first.{number}"), "pipeline-chosen")
+    return numbered.join(chosen, number, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from brute import benchmark_hits, near_components, repeated_bytes, repeated_words
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from answerscope.llm.queries import QUERIES
 from answerscope.llm.quality_rules import judge
 from answerscope.llm.sql import ORACLES
@@ -73,3 +74,15 @@ def test_pipeline_against_brute_force(spark, texts):
     assert {r.doc_id for r in clean.collect()} == {k for k, t in left.items() if not benchmark_hits(t, items, 10)[0]}
     mixed = corpus_pipeline.run(spark, SF)
     assert set(docs.columns) <= set(mixed.columns) and mixed.select("doc_id").distinct().count() <= len(left)
+
+
+def test_one_row_of_a_group_stays(spark):
+    one = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(4, one), (2, one), (2, one), (None, one), (None, one + " more"), (None, other), (None, other),
+            (9, None), (9, None), (8, ""), (7, "v1 v2 v3 v4 v5 v6")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("number", F.lit("mine"))
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in out.collect()) == sorted(
+        [(2, one), (0, other), (9, ""), (9, ""), (8, ""), (7, "v1 v2 v3 v4 v5 v6")])
