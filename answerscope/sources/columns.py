@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import ROW_KEY, pair_id, pair_key
 from ..functions.statistics import to_number
 from ..functions.text import char_count, word_overlap
 from ..schema import CSV_NULL_TOKENS, REQUIRED_RESULT_COLUMNS, RESULT_ALIASES
+from ..session import scratch_path
 
 
 def normalize_input(df: DataFrame, fuzzy: bool = False) -> DataFrame:
@@ -103,12 +104,67 @@ def null_tokens_to_null(df: DataFrame, columns=None) -> DataFrame:
 def head_rows(df: DataFrame, count: int, order=("_shard", "_id")) -> DataFrame:
     """The first ``count`` input rows in a stated order (CSV has none of its own).
 
-    The order is found on the keys alone. Rows with equal keys are told apart by
-    a hash of all columns, and equal rows are counted together.
+    Nulls come first. Rows with equal keys follow two hashes of all columns;
+    rows equal in those count as copies of one row. The last row that is wanted is found on keys and
+    hashes alone, in one job (see ``_last_wanted``), and the result is a filter against
+    it, so texts are read once and never shuffled. Copies of that last row, of which
+    only some may be wanted, are made from one of them. A count of 0 or less gives no row.
     """
     keys = [c for c in order if c in df.columns]
-    marked = df.withColumn("_mark", F.xxhash64(*df.columns))
-    best = marked.select(*keys, "_mark").orderBy(*keys, "_mark").limit(count)
-    chosen = best.groupBy("_mark").agg(F.count(F.lit(1)).alias("_wanted"))
-    nth = F.row_number().over(Window.partitionBy("_mark").orderBy("_mark"))
-    return (marked.join(chosen, "_mark").withColumn("_nth", nth).where("_nth <= _wanted").drop("_mark", "_wanted", "_nth"))
+    place = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)], *_row_hashes(df).values())
+    last = _last_wanted(df.select(place.alias("place")), count)
+    if last is None:
+        return df
+    own = [F.col(f"`{c}`") for c in df.columns]
+    bound = last.select("place").scalar()
+    before = df.where((place < bound) & F.lit(count > 0)).select(*own)
+    copies = _times(df.where(place == bound).limit(1).select(F.struct(*own).alias("row")), last.select("copies").scalar())
+    return before.unionByName(copies.select("row.*"))
+
+
+COPIES_PER_ROW = 1 << 16  # one row is multiplied in two steps of at most this many copies each
+
+
+def _row_hashes(df: DataFrame) -> dict[str, Column]:
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return {"h1": F.xxhash64(*columns).alias("h1"), "h2": F.xxhash64(F.lit("second"), *columns).alias("h2")}
+
+
+def _last_wanted(places: DataFrame, count: int) -> DataFrame | None:
+    """One row: the place of the last wanted row and its wanted copies; None if there are no more rows than wanted.
+
+    Equal places are counted before they are shuffled, so a repeated row is one row. The counts are cut into ranges
+    and written; sums per range, one small row each, tell the range where ``count`` is reached,
+    and the rows of that range alone are added up one by one.
+    """
+    spark = places.sparkSession
+    path = scratch_path(spark, "places")
+    counted = places.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = counted.repartitionByRange(parts, "place").withColumn("part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    upto = Window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("n"), F.min("place").alias("least"))
+    ends = sums.withColumn("end", F.sum("n").over(upto.orderBy("least")))
+    wanted = max(count, 1)
+    reached = ends.where(F.col("end") >= wanted).orderBy("end").limit(1).select("part", (F.col("end") - F.col("n")).alias("below")).first()
+    if reached is None:
+        return None
+    end = F.sum("n").over(upto.orderBy("place")) + F.lit(reached["below"])
+    inside = ranged.where(F.col("part") == reached["part"]).withColumn("end", end)
+    start = F.col("end") - F.col("n")
+    last = inside.where((F.col("end") >= wanted) & (start < wanted)).select(
+        "place", F.greatest(F.lit(count) - start, F.lit(0)).cast("long").alias("copies"))
+    last.write.parquet(f"{path}-last")
+    return spark.read.schema(last.schema).parquet(f"{path}-last")
+
+
+def _times(one: DataFrame, copies: Column) -> DataFrame:
+    """A single row ``row`` as often as ``copies`` says, made by many tasks if that is often."""
+    batch = F.lit(COPIES_PER_ROW)
+    some = one.withColumn("copies", copies)
+    batches = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / batch)),
+                          lambda i: F.least(batch.cast("long"), F.col("copies") - i * batch))
+    spread = some.where("copies > 0").select("row", F.posexplode(batches).alias("batch", "size")).repartition("batch")
+    return spread.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size")))).select("row")

@@ -96,6 +96,38 @@ def test_first_rows_in_a_stated_order(spark):
     assert columns.head_rows(df, 4).count() == 4 and columns.head_rows(df, 40).count() == 5
 
 
+def _multiset(df):
+    return df.groupBy(*df.columns).count().orderBy(*df.columns).collect()
+
+
+def test_cap_of_any_size_with_a_row_repeated_for_a_third(spark):
+    many = spark.range(3000).selectExpr(
+        "concat('s', id % 3) as _shard", "if(id % 3 = 1, 'hot', nullif(cast(id * 7919 % 500 as string), '7')) as _id",
+        "if(id % 3 = 1, 'same', concat('t', id % 4)) as context", "if(id % 3 = 1, null, id % 2) as place")
+    hashed = many.withColumns(columns._row_hashes(many))
+    for count in (0, 1, 999, 1500, 1600, 2000, 2999, 3000, 5000):
+        want = hashed.orderBy("_shard", "_id", "h1", "h2").limit(count).drop("h1", "h2")
+        got = columns.head_rows(many, count)
+        assert got.columns == many.columns and _multiset(got) == _multiset(want), count
+    assert columns.head_rows(many.where("1 = 0"), 5).collect() == []
+    assert columns.head_rows(many.drop("_shard", "_id"), 1700).count() == 1700
+
+
+def test_cap_reads_texts_once_and_shuffles_none(spark, tmp_path):
+    spark.range(2000).selectExpr("concat('s', id % 2) as _shard", "id as _id", "'text' as context").write.parquet(str(tmp_path / "rows"))
+    got = columns.head_rows(spark.read.parquet(str(tmp_path / "rows")), 1000)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    # The one row that is multiplied is all that moves.
+    assert "Join" not in plan and "Window" not in plan and "TakeOrdered" not in plan and got.count() == 1000
+
+
+def test_copies_are_made_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(columns, "COPIES_PER_ROW", 100)
+    one = spark.sql("select struct(1 as a) as row")
+    for n in (0, 1, 99, 100, 101, 250):
+        assert columns._times(one, F.lit(n).cast("long")).count() == n
+
+
 def test_row_ids(spark):
     df = spark.createDataFrame([("q", None), ("q", "7"), ("q2", "7")], "question string, _id string")
     rows = columns.with_row_id(df).collect()
