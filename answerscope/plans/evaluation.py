@@ -8,8 +8,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.keys import ROW_KEY, with_row
 from ..functions.text import clean_overlap
 from ..operators import compare, disagreement, distributions, filters, metrics, predict, ranking
+from ..session import written
 from ..sinks import reports
 from ..sinks.run_store import RunStore
 from ..sources.columns import head_rows, normalize_input, with_row_id
@@ -93,8 +95,14 @@ def home_analysis(df: DataFrame, min_score: float = 0.0, min_overlap: float = 0.
 
 
 def advanced_analysis(df: DataFrame, score_range=None, length_range=None, models=None) -> dict[str, DataFrame]:
-    """The panels of the second view, all on the filtered rows."""
+    """The panels of the second view, all on the filtered rows.
+
+    The table is read once: the numbers of the filtered rows are written to the shared
+    folder, some forty bytes a row, and every panel reads these.
+    """
     kept = filters.filter_advanced(df, score_range, length_range, models)
+    numbers = ("model", *distributions.CORRELATED)
+    kept = written(kept.select(*[c for c in numbers if c in kept.columns]), "view-numbers")
     by_model = {} if "model" not in df.columns else {
         "describe": distributions.score_describe(kept),
         "box": distributions.box_summary(kept),
@@ -115,10 +123,15 @@ def advanced_analysis(df: DataFrame, score_range=None, length_range=None, models
 def two_model_study(df: DataFrame, a: str, b: str, cleaned: bool = False) -> dict[str, DataFrame]:
     """The blocks of the comparison of two models.
 
-    With ``cleaned`` the overlap is taken anew between cleaned texts.
+    With ``cleaned`` the overlap is taken anew between cleaned texts. The table is read once:
+    the two models' answers and numbers are written to the shared folder with what tells
+    an input row from others, so no block reads, hashes or cleans a context again.
     """
     if cleaned:
         df = df.withColumn("overlap", clean_overlap(F.col("answer"), F.col("context")))
+    rows = with_row(df.where(F.col("model").isin(a, b)))
+    df = written(rows.select(F.col("_row").alias(ROW_KEY), "_id", "model", "answer", "score", "overlap",
+                             "question_length", "context_length"), "view-rows")
     return {
         "wide": compare.wide_compare(df, a, b),
         "summary": compare.wide_summary(df, a, b),

@@ -48,6 +48,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/answerscope/{label}-{uuid.uuid4().hex}"
 
 
+def written(df, label: str):
+    """Write a table to the shared folder and read it back, so that all its uses share one computation."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -125,6 +125,29 @@ def test_run_evaluation(spark, tmp_path):
         run_evaluation(spark, str(folder), str(tmp_path / "none"), "all", models[3:])
 
 
+def test_views_read_the_table_once(spark, tmp_path):
+    """Panels are those of the whole table, and none of them opens its files again."""
+    from answerscope.operators import compare, distributions, filters
+
+    spark.range(120).selectExpr(
+        "id % 40 as _id", "concat('q', id % 7) as question", "concat('c', id % 40) as context",
+        "element_at(array('lead', 'echo', 'other', null), cast(id % 4 as int) + 1) as model",
+        "if(id % 11 = 0, null, concat('a', id % 3)) as answer", "if(id % 13 = 0, null, id * 37 % 101 / 100D) as score",
+        "id * 53 % 97 / 96D as overlap", "id % 9 as question_length", "id % 17 as context_length").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    source = set(df.inputFiles())
+    rows = lambda d: sorted(map(str, d.collect()))
+    study = two_model_study(df, "lead", "echo")
+    advanced = advanced_analysis(df, (0.1, 0.9))
+    for name, panel in {**study, **advanced}.items():
+        assert source.isdisjoint(panel.inputFiles()), name
+    kept = filters.filter_advanced(df, (0.1, 0.9))
+    for panel, want in ((study["wide"], compare.wide_compare(df, "lead", "echo")), (study["tiers"], compare.tier_distribution(df, "lead", "echo")),
+                        (study["top10"], compare.global_extremes(df, ("lead", "echo"), True)), (study["sample"], compare.sample_differing(df, "lead", "echo")),
+                        (advanced["box"], distributions.box_summary(kept)), (advanced["overlap_histogram"], distributions.histogram(kept, "overlap", 30))):
+        assert panel.columns == want.columns and rows(panel) == rows(want)
+
+
 def test_inputs_without_ids_are_numbered(spark, tmp_path):
     folder = tmp_path / "shards"
     folder.mkdir()
