@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.bands import correlation_direction, correlation_strength
 from ..functions.statistics import half_even, pearson
+from ..session import written
 from .quantiles import exact_quantiles, with_quantiles
 
 QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
@@ -92,8 +93,11 @@ def _box_columns(value: str, low: Column, high: Column, count: Column) -> list[C
 
 
 def box_summary(df: DataFrame, value: str = "score", key: str = "model") -> DataFrame:
-    """Quartiles, fences at 1.5 IQR, whiskers inside them and outliers per key."""
-    present = df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(key, value)
+    """Quartiles, fences at 1.5 IQR, whiskers inside them and outliers per key.
+
+    Three passes; the table is read once, the key and the value are written for them (runs a job).
+    """
+    present = written(df.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(key, value), "box-values")
     fenced = _with_fences(exact_quantiles(present, key, value, QUARTILES))
     # Equal values are counted before they look up their fences; keys are model names, a short map.
     boxes = fenced.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.struct(*_BOX))))).scalar()
@@ -105,8 +109,8 @@ def box_summary(df: DataFrame, value: str = "score", key: str = "model") -> Data
 
 
 def box_overall(df: DataFrame, value: str) -> DataFrame:
-    """The box beside a histogram: one summary over all rows."""
-    present = df.where(F.col(value).isNotNull()).select(F.lit("all").alias("group"), value)
+    """The box beside a histogram: one summary over all rows. As in ``box_summary`` the values are written once."""
+    present = written(df.where(F.col(value).isNotNull()).select(value), "box-values").withColumn("group", F.lit("all"))
     fenced = _with_fences(exact_quantiles(present, "group", value, QUARTILES))
     counted = (present.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
                .withColumn("box", fenced.select(F.struct(*_BOX)).scalar()))

@@ -48,10 +48,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/answerscope/{label}-{uuid.uuid4().hex}"
 
 
+# Rows of one input lie together and repeat its texts; a dictionary this large (bytes, per column and
+# row group) holds them once, where the usual megabyte is full after a few hundred rows.
+REPEATED_TEXTS = {"parquet.dictionary.page.size": str(32 << 20)}
+
+
 def written(df, label: str):
     """Write a table to the shared folder and read it back, so that all its uses share one computation."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**REPEATED_TEXTS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
