@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bands import RISK_BANDS, performance_tier, risk_band
-from ..functions.keys import answer_key, is_complete, pair_id, pair_of
+from ..functions.keys import PAIR_KEY, answer_key, is_complete, pair_id, pair_of
 from ..functions.statistics import half_even
 from ..functions.text import nonspace_count, word_count
+from ..session import written
 from ..sources.columns import annotate
 from .quantiles import brackets, merged_summaries, select_ranks, summary_of, with_quantiles
 
@@ -34,7 +35,8 @@ def agreement_groups(df: DataFrame) -> DataFrame:
     and one answer of one pair is one group first, so a pair with very many
     rows is spread over tasks and counted before it meets in one.
     """
-    each = (df.groupBy(pair_of(df).alias("_pair"), answer_key(F.col("answer")).alias("_answer"))
+    answer = F.col("_answer") if "_answer" in df.columns else answer_key(F.col("answer"))
+    each = (df.groupBy(pair_of(df).alias("_pair"), answer.alias("_answer"))
             .agg(F.count(F.lit(1)).alias("_rows")))
     return agreement_of_counts(each)
 
@@ -60,19 +62,23 @@ def risk_counts(df: DataFrame) -> DataFrame:
 def headline_metrics(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("total_rows"),
-        F.avg(word_count(F.col("question"))).alias("mean_question_words"),
-        F.avg(nonspace_count(F.col("question"))).alias("mean_question_chars"),
+        *[F.avg(size).alias(f"mean_{name}") for name, size in question_sizes(df).items()],
         F.avg("score").alias("mean_score"), F.avg("overlap").alias("mean_overlap"))
 
 
+def question_sizes(df: DataFrame) -> dict[str, Column]:
+    """Words and characters of the question: stored columns of these names, else from the text."""
+    if "question_words" in df.columns:
+        return {n: F.col(n) for n in ("question_words", "question_chars")}
+    return {"question_words": word_count(F.col("question")), "question_chars": nonspace_count(F.col("question"))}
+
+
 def model_stats(df: DataFrame, digits: int = 4) -> DataFrame:
     """Per-model statistics of (filtered) rows; ``scored`` counts non-null scores."""
-    question = F.col("question")
     stats = (df.where(F.col("model").isNotNull()).groupBy("model").agg(
         F.avg("score").alias("score_mean"), F.count("score").alias("scored"),
         F.stddev_samp("score").alias("score_std"), F.avg("overlap").alias("overlap_mean"),
-        F.avg(word_count(question)).alias("mean_question_words"),
-        F.avg(nonspace_count(question)).alias("mean_question_chars")))
+        *[F.avg(size).alias(f"mean_{name}") for name, size in question_sizes(df).items()]))
     rounded = [c for c in stats.columns if c not in ("model", "scored")]
     return stats.withColumns({c: half_even(F.col(c), digits) for c in rounded})
 
@@ -158,9 +164,11 @@ def metrics_document(df: DataFrame) -> DataFrame:
 
     Counts, sums and sketches are taken once per (model, band); everything but the exact medians
     and agreement follows from these few rows. A table without overlap is annotated first.
+    The table is read once: keys and numbers are written for the passes over it (runs a job).
     """
     if "overlap" not in df.columns:
         df = annotate(df)
+    df = written(df.select("model", "score", "overlap", pair_of(df).alias(PAIR_KEY), answer_key(F.col("answer")).alias("_answer")), "document-rows")
     return document_of(score_cells(df), df, avg_unique_answers(df))
 
 
