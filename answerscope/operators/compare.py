@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.bands import EXPLICIT_TIERS, OVERLAP_TIER_NAMES, RISKY_TIERS, overlap_tier, overlap_verdict
-from ..functions.keys import seeded_order, with_row
+from ..functions.keys import ROW_KEY, seeded_order, with_row
 from ..functions.text import answers_differ
+from ..session import written
 from .ranking import extreme_inputs, extremes
 
 SEED = 42
@@ -102,11 +103,15 @@ def extreme_model_counts(df: DataFrame, models, count: int = 10) -> DataFrame:
 
 def wide_summary(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows, mean question length, mean score and overlap, wins and ties by score."""
-    wide = with_winners(wide_scores(df, (a, b)), a, b)
+    return with_winners(wide_scores(df, (a, b)), a, b).agg(*summary_columns(a, b))
+
+
+def summary_columns(a: str, b: str) -> list[Column]:
+    """The aggregates of ``wide_summary`` over a wide table with winners."""
     means = [F.avg(c).alias(f"mean_{c}") for c in (f"{a}_score", f"{b}_score", f"overlap_{a}", f"overlap_{b}")]
     wins = [F.count_if(F.col("score_winner") == w).alias(f"wins_{w}") for w in (a, b)]
-    return wide.agg(F.count(F.lit(1)).alias("total"), F.avg("question_length").alias("mean_question_length"),
-                    *means, *wins, F.count_if(F.col("score_winner") == "tie").alias("ties"))
+    return [F.count(F.lit(1)).alias("total"), F.avg("question_length").alias("mean_question_length"),
+            *means, *wins, F.count_if(F.col("score_winner") == "tie").alias("ties")]
 
 
 def win_counts(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -163,16 +168,25 @@ def overlap_verdicts(df: DataFrame, a: str, b: str) -> DataFrame:
         overlap_verdict(F.col("_a")).alias(f"{a}_verdict"), overlap_verdict(F.col("_b")).alias(f"{b}_verdict"))
 
 
+def study_rows(df: DataFrame, a: str, b: str) -> DataFrame:
+    """The two models' answers and numbers with what tells an input row from others, written to the shared folder."""
+    rows = with_row(df.where(F.col("model").isin(a, b)))
+    return written(rows.select(F.col("_row").alias(ROW_KEY), "_id", "model", "answer", "score", "overlap",
+                               "question_length", "context_length"), "view-rows")
+
+
 def sample_differing(df: DataFrame, a: str, b: str, count: int = 5, seed: int = SEED,
                      with_text: bool = False) -> DataFrame:
     """Reproducible sample of inputs the two models answer differently.
 
     Inputs that are an extreme (ten best or worst) of either model are left
     out; fewer rows are returned if fewer differ. Nothing is returned if
-    fewer than ``count`` inputs remain after the exclusion.
+    fewer than ``count`` inputs remain after the exclusion. A table with contexts is read once, as
+    ``study_rows`` (runs a job).
     """
+    narrow = study_rows(df, a, b) if "context" in df.columns else df
     # At most 40 inputs are excluded.
-    rest = _wide(df, a, b).join(extreme_inputs(df, (a, b)).select("_row"), "_row", "left_anti")
+    rest = _wide(narrow, a, b).join(extreme_inputs(narrow, (a, b)).select("_row"), "_row", "left_anti")
     remaining = rest.select("_row").limit(count).agg(F.count(F.lit(1))).scalar()
     differing = rest.where(answers_differ(F.col(f"{a}_answer"), F.col(f"{b}_answer")) & (remaining >= count))
     picked = with_winners(differing.orderBy(seeded_order(seed, F.col("_id")), "_id", "_row").limit(count), a, b)
