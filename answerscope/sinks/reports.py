@@ -6,11 +6,12 @@ never gathered. Only reports of a few rows are written by one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..functions.keys import PAIR_KEY, ROW_KEY, pair_of
-from ..operators.compare import wide_compare, wide_summary
+from ..operators.compare import summary_columns, wide_compare
 from ..operators.distributions import CORRELATED, correlation_matrix
+from ..session import REPEATED_TEXTS
 from ..sources.results import RESULTS_STEM, ordered_projection
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"',
@@ -28,7 +29,7 @@ def write_predictions(df: DataFrame, table: str, run_id: str, batch: int = 0) ->
     keyed = df.withColumn(PAIR_KEY, pair_of(df))
     rows = [ROW_KEY] if ROW_KEY in df.columns else []
     stored = ordered_projection(keyed, PAIR_KEY, *rows).withColumns({"run_id": F.lit(run_id), "batch": F.lit(batch)})
-    (stored.write.mode("overwrite")
+    (stored.write.mode("overwrite").options(**REPEATED_TEXTS)
      .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch").parquet(table))
 
 
@@ -111,11 +112,15 @@ def write_per_model_csv(document: DataFrame, path: str) -> None:
 
 
 def write_wide(df: DataFrame, a: str, b: str, folder: str) -> None:
-    """The wide comparison as CSV and its summary as text."""
-    wide_compare(df, a, b, with_text=True).write.mode("overwrite").options(**CSV_OPTIONS).csv(f"{folder}/wide.csv")
-    summary = wide_summary(df, a, b)
+    """The wide comparison as CSV and its summary, taken while the rows are written, as text."""
+    seen = Observation()
+    wide = wide_compare(df, a, b, with_text=True).observe(seen, *summary_columns(a, b))
+    wide.write.mode("overwrite").options(**CSV_OPTIONS).csv(f"{folder}/wide.csv")
+    found = seen.get
+    kinds = ", ".join(f"`{c}` {'double' if c.startswith('mean_') else 'bigint'}" for c in found)
+    summary = df.sparkSession.createDataFrame([tuple(found.values())], kinds)
     lines = summary.select(F.explode(F.array(*[
-        F.concat(F.lit(f"{c}: "), _shown(F.col(c))) for c in summary.columns])).alias("value"))
+        F.concat(F.lit(f"{c}: "), _shown(F.col(f"`{c}`"))) for c in summary.columns])).alias("value"))
     lines.coalesce(1).write.mode("overwrite").text(f"{folder}/metadata.txt")
 
 
