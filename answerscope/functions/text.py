@@ -14,6 +14,12 @@ EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 UNWANTED = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f.,\-?]"
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row; the planner may otherwise compute it
+    wherever it is used, inside a lambda for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def split_lower(text: Column) -> Column:
     """Lower-cased pieces of ``text`` between blanks; may hold ``''`` at the ends."""
     return F.split(F.lower(text), BLANK_RUN)
@@ -52,8 +58,8 @@ def clean_text(text: Column) -> Column:
 
 
 def clean_overlap(answer: Column, context: Column) -> Column:
-    """Word overlap after both sides were cleaned."""
-    return word_overlap(clean_text(answer), clean_text(context))
+    """Word overlap after both sides were cleaned; words are the same whether blanks are collapsed before or not."""
+    return word_overlap(F.regexp_replace(answer, UNWANTED, ""), F.regexp_replace(context, UNWANTED, ""))
 
 
 def char_count(text: Column) -> Column:
