@@ -11,7 +11,7 @@ from ..functions import bands, text
 from ..functions.statistics import to_number
 from ..operators import compare, disagreement, distributions, filters, metrics, predict, ranking
 from ..operators.predict import Model, Predictor
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sinks import reports
 from ..sinks.run_store import RunStore
 from ..sources import columns, results, shards
@@ -497,7 +497,8 @@ def stored_side_by_side(spark, sf_dir):
 def _in_batches(spark, sf_dir) -> RunStore:
     """A published run, and a later one of three batches, the second of them repeated; the later one is not published."""
     store = RunStore(spark, scratch_path(spark, "runs"))
-    rows = predictions(spark, sf_dir)
+    # Computed once; the batches are filters of it.
+    rows = written(predictions(spark, sf_dir), "batches")
     store.write(rows.where(F.col("_id") % 2 == 0), "20260101_000000", STAND_IN_MODELS)
     store.publish("20260101_000000")
     for batch in (0, 1, 1, 2):
