@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import with_row
+from ..session import written
 from .metrics import best_model
 
 # Ties follow this order.
 IDENTITY = ("_id", "model")
 _SALTS = 256
+LOOKED_UP = 10  # so many rows are looked up by value, more are joined
 
 
 def extremes(df: DataFrame, by: str = "score", count: int = 10, largest: bool = True, ties=IDENTITY) -> DataFrame:
@@ -25,10 +27,33 @@ def best_model_rows(df: DataFrame) -> DataFrame:
 
 
 def best_model_extremes(df: DataFrame, largest: bool, count: int = 10) -> DataFrame:
-    """Best or worst rows of that model, or of the table if it names no models."""
+    """Best or worst rows of that model, or of the table if it names no models.
+
+    Of a table with texts the numbers are written once (runs a job) and the rows found on these;
+    the table is then filtered by row, so nothing else of it is computed again.
+    """
     if "model" not in df.columns:
         return extremes(df, "score", count, largest, ties=("_id",))
-    return extremes(best_model_rows(df), "score", count, largest)
+    if not has_texts(df):
+        return extremes(best_model_rows(df), "score", count, largest)
+    return extreme_of(df, written(with_row(df).select("_row", "_id", "model", "score", "overlap"), "extreme-rows"), largest, count)
+
+
+def has_texts(df: DataFrame) -> bool:
+    return not {"question", "context", "answer"}.isdisjoint(df.columns)
+
+
+def extreme_of(df: DataFrame, numbers: DataFrame, largest: bool, count: int = 10) -> DataFrame:
+    """Rows of ``df`` that are extremes of the best model by its ``numbers`` (``_row, _id, model, score, overlap``)."""
+    found = extremes(best_model_rows(numbers), "score", count, largest).select("_row", "model")
+    rows = with_row(df)
+    if count <= LOOKED_UP:
+        # By value (runs a job): that filter reaches the inputs, before anything is computed from their texts.
+        few = found.collect()
+        rows = rows.where(F.col("_row").isin([r["_row"] for r in few]) & F.col("model").isin([r["model"] for r in few]))
+    else:
+        rows = rows.join(found, ["_row", "model"], "left_semi")
+    return extremes(rows.select(*df.columns), "score", count, largest)
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], count: int, spread_by: list[str]) -> DataFrame:
