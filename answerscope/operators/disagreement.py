@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import PAIR_KEY, answer_key, is_complete, pair_id, pair_of, seeded_order, with_row
 from ..functions.text import preview
+from ..session import written
 from .ranking import best_model_extremes
 
 SEED = 42
@@ -34,7 +35,7 @@ def _pair_classes(df: DataFrame, marked: bool = False) -> DataFrame:
     very many rows over tasks; keys, counts and model names are all that is
     shuffled. With ``marked`` the rows flagged ``_excluded`` are counted too.
     """
-    answer = answer_key(F.coalesce("answer", F.lit("")))
+    answer = F.col("_answer") if "_answer" in df.columns else answer_key(F.coalesce("answer", F.lit("")))
     sums = [F.count(F.lit(1)).alias("_rows")] + ([F.count_if("_excluded").alias("_excluded")] if marked else [])
     return _classes_of_counts(df.groupBy(pair_of(df).alias("_pair"), answer.alias("_answer"), _named_model().alias("_model")).agg(*sums))
 
@@ -81,9 +82,20 @@ def sample_pairs(df: DataFrame, count: int = 5, seed: int = SEED) -> DataFrame:
 
     Candidates have a row outside the best model's ten best and ten worst.
     Pairs with full disagreement come first, partial ones fill up. The order
-    within a tier and the final shuffle follow a seeded hash of the pair.
+    within a tier and the final shuffle follow a seeded hash of the pair. The table is read
+    once: keys and numbers are written for the passes over it (runs a job).
     """
-    df = with_row(df)
+    return sample_of(sample_rows(df), count, seed)
+
+
+def sample_rows(df: DataFrame) -> DataFrame:
+    """What a sample of pairs needs of each row, without texts, written to the shared folder."""
+    answer = answer_key(F.coalesce("answer", F.lit("")))
+    return written(with_row(df).select("_row", "_id", "model", "score", "overlap", pair_of(df).alias(PAIR_KEY), answer.alias("_answer")), "pair-rows")
+
+
+def sample_of(df: DataFrame, count: int = 5, seed: int = SEED) -> DataFrame:
+    """As ``sample_pairs``, from ``sample_rows``."""
     narrow = df.select("_row", "_id", "model", "score", "overlap")
     ends = [best_model_extremes(narrow, largest).select("_row", "model") for largest in (True, False)]
     # At most 20 rows; a row that is both best and worst counts once.
@@ -104,15 +116,14 @@ LOOKED_UP = 10  # as many values as a Parquet filter takes one by one
 def pair_members(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """All rows of the given pairs (``_pair``), each with its pair's columns.
 
-    On a table with stored keys a few pairs are found first (runs a job, which takes at most
-    ``LOOKED_UP`` + 1 of them) and looked up by value, so that files and row groups
-    without them are skipped; more pairs, or a table without keys, are joined.
+    A few pairs are found first (runs a job, which takes at most ``LOOKED_UP`` + 1 of them) and looked
+    up by value. With stored keys, files and row groups without them are skipped; without, the filter
+    reaches the inputs, before anything is computed from their texts but the key. More pairs are joined.
     """
-    if PAIR_KEY in df.columns:
-        few = pairs.limit(LOOKED_UP + 1).collect()
-        if len(few) <= LOOKED_UP:
-            small = df.sparkSession.createDataFrame(few, pairs.schema)
-            return with_pair(df.where(F.col(PAIR_KEY).isin([r["_pair"] for r in few]))).join(small, "_pair")
+    few = pairs.limit(LOOKED_UP + 1).collect()
+    if len(few) <= LOOKED_UP:
+        small = df.sparkSession.createDataFrame(few, pairs.schema)
+        return with_pair(df.where(pair_of(df).isin([r["_pair"] for r in few]))).join(small, "_pair")
     return with_pair(df).join(pairs, "_pair")
 
 
