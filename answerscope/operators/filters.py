@@ -23,12 +23,18 @@ def filter_home(df: DataFrame, min_score: float = 0.0, min_overlap: float = 0.0,
 
     ``models=None`` means no choice was made; an empty list keeps no row.
     """
+    return df.where(home_condition(df, min_score, min_overlap, models, keyword, literal))
+
+
+def home_condition(df: DataFrame, min_score: float = 0.0, min_overlap: float = 0.0,
+                   models=None, keyword: str = "", literal: bool = False) -> Column:
+    """The condition of ``filter_home`` on a row."""
     keep = (F.coalesce("score", F.lit(0.0)) >= min_score) & (F.coalesce("overlap", F.lit(0.0)) >= min_overlap)
     if models is not None and "model" in df.columns:
         keep = keep & F.col("model").isin(list(models))
     if keyword:
         keep = keep & keyword_match(keyword, literal)
-    return df.where(keep)
+    return keep
 
 
 def filter_advanced(df: DataFrame, score_range=None, length_range=None, models=None) -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.keys import ROW_KEY, with_row
+from ..functions.keys import PAIR_KEY, answer_key, pair_of, with_row
 from ..functions.text import clean_overlap
 from ..operators import compare, disagreement, distributions, filters, metrics, predict, ranking
 from ..session import written
@@ -75,23 +75,34 @@ def run_evaluation(spark: SparkSession, shards: str, output: str, selection="all
 
 def home_analysis(df: DataFrame, min_score: float = 0.0, min_overlap: float = 0.0, models=None,
                   keyword: str = "") -> dict[str, DataFrame]:
-    """The panels of the first view; the filters act on the panels marked so."""
-    kept = filters.filter_home(df, min_score, min_overlap, models, keyword)
+    """The panels of the first view; the filters act on the panels marked so.
+
+    The table is read once for the numbers: these, the sizes of the questions, the keys of row, pair and
+    answer and whether a row passes the filters are written to the shared folder. Panels that show
+    texts find their rows there and filter the table by them; ``rows`` is the filtered table itself.
+    """
+    own = [c for c in ("_id", "model") if c in df.columns]
+    answer = answer_key(F.coalesce("answer", F.lit("")))
+    passes = F.coalesce(filters.home_condition(df, min_score, min_overlap, models, keyword), F.lit(False))
+    numbers = written(with_row(df).select(
+        "_row", *own, "score", "overlap", *[size.alias(n) for n, size in metrics.question_sizes(df).items()],
+        pair_of(df).alias(PAIR_KEY), answer.alias("_answer"), passes.alias("_passes")), "view-numbers")
+    kept = numbers.where("_passes")
     panels = {
-        "headline": metrics.headline_metrics(df),
+        "headline": metrics.headline_metrics(numbers),
         "score_histogram": distributions.histogram(kept, "score", 40),  # filtered
-        "top10": ranking.best_model_extremes(df, True),
-        "bottom10": ranking.best_model_extremes(df, False),
-        "rows": kept,  # filtered
+        "rows": filters.filter_home(df, min_score, min_overlap, models, keyword),  # filtered
     }
     if "model" in df.columns:
-        panels |= {
+        return panels | {
+            "top10": ranking.extreme_of(df, numbers, True),
+            "bottom10": ranking.extreme_of(df, numbers, False),
             "model_stats": metrics.model_stats(kept),  # filtered
-            "performance": metrics.performance_tiers(df),
-            "best_model": metrics.best_model(df),
-            "examples": disagreement.side_by_side(df, disagreement.sample_pairs(df)),
+            "performance": metrics.performance_tiers(numbers),
+            "best_model": metrics.best_model(numbers),
+            "examples": disagreement.side_by_side(df, disagreement.sample_of(numbers)),
         }
-    return panels
+    return panels | {"top10": ranking.best_model_extremes(df, True), "bottom10": ranking.best_model_extremes(df, False)}
 
 
 def advanced_analysis(df: DataFrame, score_range=None, length_range=None, models=None) -> dict[str, DataFrame]:
@@ -129,9 +140,7 @@ def two_model_study(df: DataFrame, a: str, b: str, cleaned: bool = False) -> dic
     """
     if cleaned:
         df = df.withColumn("overlap", clean_overlap(F.col("answer"), F.col("context")))
-    rows = with_row(df.where(F.col("model").isin(a, b)))
-    df = written(rows.select(F.col("_row").alias(ROW_KEY), "_id", "model", "answer", "score", "overlap",
-                             "question_length", "context_length"), "view-rows")
+    df = compare.study_rows(df, a, b)
     return {
         "wide": compare.wide_compare(df, a, b),
         "summary": compare.wide_summary(df, a, b),
