@@ -17,8 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.keys import ROW_KEY
-from ..functions.text import BLANK_RUN, char_count, distinct_words, overlap_with, split_lower
+from ..functions.keys import PAIR_KEY, ROW_KEY, pair_key
+from ..functions.text import BLANK_RUN, char_count, distinct_words, share_found, words_in_answers
 
 STAND_IN_MODELS = ("lead", "lexical", "echo")
 SENTENCE_END = r"[.\n]+\s*"
@@ -42,22 +42,22 @@ def qa_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text").alias("context"), "question", F.concat("source", F.lit(".csv")).alias("_shard")))
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long table: one row per input and model.
+def predictions(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
+    """The long table: one row per input and model, with ``keyed`` also the key of its pair.
 
     All work on the context is done before rows are multiplied by model, and
     every column is its own expression, so a query pays only for what it uses.
     """
     sentences = F.array_remove(F.split("context", SENTENCE_END), "")
     asked = F.size("_asked")
-    lowered = F.array_remove(F.split(F.lower("context"), SENTENCE_END), "")
+    lowered = F.array_remove(F.split("_lower", SENTENCE_END), "")
     matched = F.transform(lowered, lambda s: F.try_divide(F.size(F.array_intersect("_asked", F.split(s, BLANK_RUN))), asked))
     echoed = F.col("_id") % 13 != 0
     prepared = (
         qa_inputs(spark, sf_dir)
         .withColumns({"_sentences": sentences, "_asked": distinct_words(F.col("question")),
-                      "_words": split_lower(F.col("context"))})
-        .withColumns({"_matched": matched})
+                      "_lower": F.lower("context")})
+        .withColumns({"_matched": matched, "_words": F.split("_lower", BLANK_RUN)})
         .withColumns({
             "_lead": F.try_element_at("_sentences", F.lit(1)),
             "_lead_score": F.try_element_at("_matched", F.lit(1)),
@@ -67,10 +67,14 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         })
         .withColumns({"_lexical": F.try_element_at(
             "_sentences", F.array_position("_matched", F.col("_lexical_score")).cast("int"))})
-        .withColumns({f"_{m}_overlap": overlap_with(F.col(f"_{m}"), F.col("_words")) for m in STAND_IN_MODELS})
+        .withColumns({f"_{m}_words": distinct_words(F.col(f"_{m}")) for m in STAND_IN_MODELS})
+        .withColumns({"_found": words_in_answers(F.col("_words"), F.array(*[f"_{m}_words" for m in STAND_IN_MODELS]))})
+        .withColumns({f"_{m}_overlap": share_found(F.col(f"_{m}_words"), F.col("_found")) for m in STAND_IN_MODELS})
         .withColumns({"context_length": char_count(F.col("context")),
                       "question_length": char_count(F.col("question"))})
     )
+    if keyed:
+        prepared = prepared.withColumn(PAIR_KEY, pair_key(F.col("question"), F.col("context")))
     long = prepared.withColumn("model", F.explode(F.array(*[F.lit(m) for m in STAND_IN_MODELS])))
 
     def by_model(suffix: str):
@@ -83,4 +87,4 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select(
         "_id", ROW_KEY, "title", "context", "question", "_shard", "context_length", "question_length", "model",
         by_model("").alias("answer"), by_model("_score").alias("score"),
-        by_model("_overlap").alias("overlap"), F.lit("").alias("error"))
+        by_model("_overlap").alias("overlap"), F.lit("").alias("error"), *([PAIR_KEY] if keyed else []))

@@ -46,11 +46,23 @@ def word_overlap(answer: Column, context: Column) -> Column:
 def overlap_with(answer: Column, context_words: Column) -> Column:
     """As ``word_overlap`` with the context already split, so that several
     answers to one context share the split."""
-    own = distinct_words(answer)
-    share = F.try_divide(F.array_size(F.array_intersect(own, context_words)), F.array_size(own))
+    return share_found(distinct_words(answer), context_words)
+
+
+def share_found(own: Column, context_words: Column) -> Column:
+    """Share of ``own``, distinct words, found in the context's. The set that Spark builds is that of its second argument, the few."""
+    share = F.try_divide(F.array_size(F.array_intersect(context_words, own)), F.array_size(own))
     return F.coalesce(share, F.lit(0.0))
 
 
+def words_in_answers(context_words: Column, answers: Column) -> Column:
+    """The context's words that occur in one of the answers, given as an array of arrays of words.
+
+    An answer's words are found among these if they are in the context, so a context is gone through once for all answers.
+    """
+    return F.array_intersect(context_words, F.flatten(F.array_compact(answers)))
+
+
 def clean_text(text: Column) -> Column:
     """Drop special characters, collapse blanks, trim, lower; null becomes ``''``."""
     kept = F.regexp_replace(text, UNWANTED, "")

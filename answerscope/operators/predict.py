@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import char_count, once, overlap_with, split_lower, truncate
+from ..functions.text import char_count, once, overlap_with, split_lower, truncate, words, words_in_answers
 from ..schema import MODEL_FALLBACKS, MODEL_REGISTRY
 from ..session import ship_package
 
@@ -220,8 +220,9 @@ def fan_out(df: DataFrame, models: Sequence[Model], batch_size: int = 32, contex
     if not annotate:
         return found.select(*df.columns, F.inline("_answers"))
     fields = ("model", "answer", "score", "start", "end", "error", "model_error")
-    scored = once(split_lower(F.col("context")), lambda words: F.transform("_answers", lambda a: F.struct(
-        *[a[f].alias(f) for f in fields], overlap_with(a["answer"], words).alias("overlap"))))
+    found_words = words_in_answers(split_lower(F.col("context")), F.transform("_answers", lambda a: words(a["answer"])))
+    scored = once(found_words, lambda seen: F.transform("_answers", lambda a: F.struct(
+        *[a[f].alias(f) for f in fields], overlap_with(a["answer"], seen).alias("overlap"))))
     sizes = [char_count(F.col(c)).alias(f"{c}_length") for c in ("context", "question")]
     own = [c for c in df.columns if c not in ("context_length", "question_length", "overlap")]
     return found.select(*own, *sizes, scored.alias("_scored")).select(*own, "context_length", "question_length", F.inline("_scored"))

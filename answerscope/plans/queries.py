@@ -476,7 +476,7 @@ def skipped_shards(spark, sf_dir):
 
 def _stored(spark, sf_dir) -> RunStore:
     store = RunStore(spark, scratch_path(spark, "runs"))
-    store.write(predictions(spark, sf_dir), RUN_ID, STAND_IN_MODELS)
+    store.write(predictions(spark, sf_dir, keyed=True), RUN_ID, STAND_IN_MODELS)
     store.publish(RUN_ID)
     return store
 
@@ -498,7 +498,7 @@ def _in_batches(spark, sf_dir) -> RunStore:
     """A published run, and a later one of three batches, the second of them repeated; the later one is not published."""
     store = RunStore(spark, scratch_path(spark, "runs"))
     # Computed once; the batches are filters of it.
-    rows = written(predictions(spark, sf_dir), "batches")
+    rows = written(predictions(spark, sf_dir, keyed=True), "batches")
     store.write(rows.where(F.col("_id") % 2 == 0), "20260101_000000", STAND_IN_MODELS)
     store.publish("20260101_000000")
     for batch in (0, 1, 1, 2):

@@ -2,7 +2,8 @@
 
 Below the folder of a store lie
 
-* ``rows``: the predictions, one folder per attempt and model; Parquet bloom filters on the
+* ``rows``: the predictions, one folder per attempt; the rows of all models lie as they come, so the texts
+  of an input, which each of its rows repeats, are kept about once. Parquet bloom filters on the
   pair's key let a look-up of a few pairs skip almost all row groups;
 * ``answers``: how often each answer of each model was given to each pair, bucketed by pair,
   so that agreement and disagreement aggregate without an exchange;
@@ -19,9 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
@@ -31,6 +32,7 @@ from pyspark.sql.types import StructType
 from ..functions.keys import PAIR_KEY, ROW_KEY, answer_key, pair_of
 from ..operators import disagreement, metrics
 from ..operators.predict import Model, fan_out
+from ..session import REPEATED_TEXTS
 from ..sources.results import RUN_ID_PATTERN, ordered_projection
 
 LOG = ("run_id string, kind string, at timestamp, batch int, attempt string, model string, rows bigint, error string, buckets int, "
@@ -38,9 +40,8 @@ LOG = ("run_id string, kind string, at timestamp, batch int, attempt string, mod
 BEGIN, PART, FAILURE, RUN = "begin", "part", "failure", "run"
 
 
-def _folder(model: str) -> str:
-    """A folder name that no path escape changes."""
-    return model if re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]*", model) else "x" + model.encode().hex()
+# Texts in dictionaries; the pair's key is in none, so that it always has its bloom filter.
+ROW_FILES = {**REPEATED_TEXTS, f"parquet.enable.dictionary#{PAIR_KEY}": "false", f"parquet.bloom.filter.enabled#{PAIR_KEY}": "true"}
 
 
 class RunStore:
@@ -119,21 +120,19 @@ class RunStore:
                                       *[F.count_if(is_mine).alias(f"n{i}") for i, is_mine in enumerate(mine)],
                                       *[F.max(F.when(is_mine, F.col("model_error"))).alias(f"e{i}") for i, is_mine in enumerate(mine)])
         keyed = watched.where(F.col("model_error").isNull()).withColumn(PAIR_KEY, pair_of(watched))
-        folders = F.create_map(*[F.lit(x) for m in models for x in (m, _folder(m))])
         rows = ordered_projection(keyed, PAIR_KEY, *([ROW_KEY] if ROW_KEY in keyed.columns else [])).withColumns(
             {"run_id": F.lit(run_id), "batch": F.lit(batch)})
         path = f"{self.folder}/rows/{run_id}/{attempt}"
-        (rows.withColumn("part", folders[F.col("model")]).write.partitionBy("part")
-         .option(f"parquet.bloom.filter.enabled#{PAIR_KEY}", "true").parquet(path))
+        rows.write.options(**ROW_FILES).parquet(path)
 
         found = seen.get
         if found["all"] != sum(found[f"n{i}"] for i in range(len(models))):
             raise ValueError(f"rows of models that are not among {list(models)}")
         failed = {m: found[f"e{i}"] for i, m in enumerate(models) if found[f"e{i}"] is not None}
         good = {m: found[f"n{i}"] for i, m in enumerate(models) if m not in failed}
-        filled = [f"{path}/part={_folder(m)}" for m, n in good.items() if n]
+        filled = [m for m, n in good.items() if n]
         if filled:
-            self._write_states(spark.read.parquet(*filled), run_id, attempt, buckets)
+            self._write_states(self._of_models([path], filled, rows.schema), run_id, attempt, buckets)
         entry = {"run_id": run_id, "batch": batch, "attempt": attempt}
         self._add([*[{**entry, "kind": PART, "model": m, "rows": n, "buckets": buckets, "columns": rows.schema.json()} for m, n in good.items()],
                    *[{**entry, "kind": FAILURE, "model": m, "error": e} for m, e in failed.items()]])
@@ -171,7 +170,9 @@ class RunStore:
         return failed | broken
 
     def _evaluated(self, inputs: DataFrame, models: Sequence[Model], run_id: str, batch: int, options: dict) -> dict[str, str]:
-        raw = fan_out(inputs, models, retry_load=True, annotate=True, **options)
+        # Once a row of input, not of output.
+        keyed = inputs.withColumn(PAIR_KEY, pair_of(inputs))
+        raw = fan_out(keyed, models, retry_load=True, annotate=True, **options)
         return self.write(raw, run_id, [m.key for m in models], batch)
 
     def fail(self, run_id: str, model: str, error: str, batch: int = 0) -> None:
@@ -222,9 +223,23 @@ class RunStore:
 
     def _rows(self, entry) -> DataFrame:
         schema = StructType.fromJson(json.loads(entry["columns"]))
-        paths = [f"{self.folder}/rows/{entry.run_id}/{p.attempt}/part={_folder(p.model)}" for p in entry.parts if p.rows]
-        # Listed by name, so nothing but the published parts is opened or even listed.
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        models, paths = {}, {}
+        for p in entry.parts:
+            if p.rows:
+                models.setdefault(p.attempt, []).append(p.model)
+        for attempt, published in models.items():
+            paths.setdefault(tuple(sorted(published)), []).append(f"{self.folder}/rows/{entry.run_id}/{attempt}")
+        # Listed by name, so nothing but the published attempts is opened or even listed; one scan, unless
+        # attempts differ in the models that are published of them.
+        scans = [self._of_models(mine, published, schema) for published, mine in paths.items()]
+        return reduce(DataFrame.unionByName, scans) if scans else self.spark.createDataFrame([], schema)
+
+    def _of_models(self, paths: Sequence[str], models: Sequence[str], schema: StructType) -> DataFrame:
+        """The models' rows below the folders; those of others, say of a model that failed in some tasks, are passed over.
+
+        Runs of before lie in one folder per model, whose name is no column of theirs.
+        """
+        return self.spark.read.schema(schema).parquet(*paths).where(F.col("model").isin(list(models))).select(*schema.names)
 
     def _state(self, entry, kind: str) -> DataFrame | None:
         models = [p.model for p in entry.parts]

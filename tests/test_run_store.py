@@ -1,6 +1,8 @@
 import json
 import os
+import shutil
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,49 @@ def test_latest_opens_no_data(spark, store):
     assert store.latest() == OLD
 
 
+def context_bytes(folder):
+    """Bytes of the column ``context`` in the Parquet files below a folder."""
+    files = [pq.read_metadata(f"{top}/{f}") for top, _, names in os.walk(folder) for f in names if f.endswith(".parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    return sum(c.total_compressed_size for g in groups for c in map(g.column, range(g.num_columns)) if c.path_in_schema == "context")
+
+
+def test_a_context_is_stored_once_for_all_models(spark, store, tmp_path):
+    noise = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.sha2(F.concat_ws("-", i, "id"), 256)), "")
+    texts = spark.range(200).repartition(2).withColumn("context", noise)
+    texts.select("context").write.parquet(str(tmp_path / "texts"))
+    long = texts.select(F.col("id").cast("string").alias("_id"), F.lit("q").alias("question"), "context",
+                        F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model"), F.lit("a").alias("answer"),
+                        F.lit(0.5).alias("score"), F.lit("").alias("error"))
+    store.write(annotate(long), NEW, MODELS)
+    store.publish(NEW)
+    assert store.read().count() == 800 and store.read().select("context").distinct().count() == 200
+    assert 0 < context_bytes(f"{store.folder}/rows") < 1.5 * context_bytes(tmp_path / "texts")
+
+
+def test_attempts_that_differ_in_their_models(spark, store):
+    store.write(rows(spark, 20), NEW, MODELS)
+    again = ["a", "1e5"]  # these come from the later attempt, the others from the first
+    store.write(rows(spark, 7, models=again), NEW, again)
+    store.write(rows(spark, 5, 20), NEW, MODELS, 1)
+    store.publish(NEW)
+    assert content(store.read().groupBy("model", "batch").count()) == sorted(
+        (m, b, str(n)) for m in MODELS for b, n in (("0", 7 if m in again else 20), ("1", 5)))
+
+
+def test_runs_in_one_folder_per_model_are_still_read(spark, store, tmp_path):
+    store.write(rows(spark), NEW, MODELS)
+    store.publish(NEW)
+    old = RunStore(spark, str(tmp_path / "old"))
+    shutil.copytree(f"{store.folder}/log", f"{old.folder}/log")
+    for attempt in os.listdir(f"{store.folder}/rows/{NEW}"):
+        kept = spark.read.parquet(f"{store.folder}/rows/{NEW}/{attempt}")
+        folder = F.when(F.col("model").isin("a", "1e5"), F.col("model")).otherwise(F.concat(F.lit("x"), F.lower(F.hex("model"))))
+        kept.withColumn("part", folder).write.partitionBy("part").parquet(f"{old.folder}/rows/{NEW}/{attempt}")
+    assert old.read().columns == store.read().columns
+    assert content(old.read()) == content(store.read())
+
+
 def test_rows_come_back(spark, store):
     given = rows(spark)
     store.write(given, NEW, MODELS)
